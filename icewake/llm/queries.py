@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, sentencepiece_codec
+from . import best_fit_packing, sentencepiece_codec, simhash_dedup, suffix_array_dedup
 from .common import table
 
 
@@ -17,6 +17,24 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once strings of 100 bytes that start earlier are removed."""
+    runs = suffix_array_dedup.removed_runs(table(spark, sf_dir, "documents"), 100)
+    return runs.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        (F.octet_length("removed") / 8).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint over three-word shingles and near-duplicate class of every document."""
+    classes = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, tau=3)
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as counts and digests."""
     coded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
@@ -34,6 +52,8 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
