@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, sentencepiece_codec, simhash_dedup, suffix_array_dedup
+from . import (
+    best_fit_packing,
+    chat_rotation,
+    hilbert_neighbours,
+    image_copies,
+    license_scan,
+    lm_scores,
+    media_scenes,
+    quality_crf,
+    sentencepiece_codec,
+    simhash_dedup,
+    suffix_array_dedup,
+)
 from .common import table
 
 
@@ -35,6 +47,23 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy class of the picture of every embedding; every eighth is an edited view of the one before."""
+    return image_copies.copy_classes(media_scenes.pictures(table(spark, sf_dir, "embeddings")))
+
+
+def op4_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.score_documents(docs, model).select(
+        "doc_id",
+        quality_crf.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_crf.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as counts and digests."""
     coded = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
@@ -51,11 +80,39 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), 2048)
 
 
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of every conversation as each participant sees it."""
+    return chat_rotation.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all documents."""
+    scores = lm_scores.score_documents(table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents with family, probability and template similarity."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest other vectors of every vector whose id is divisible by 100."""
+    return hilbert_neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_image_copies": op3_image_copies,
+    "op4_quality_crf": op4_quality_crf,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_chat_rotation": op7_chat_rotation,
+    "op8_lm_scores": op8_lm_scores,
+    "op9_license_scan": op9_license_scan,
+    "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_chat_rotation": chat_rotation.ORACLE, "op8_lm_scores": lm_scores.ORACLE}
