@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, ceil, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -33,36 +34,54 @@ GROUPS = 4
 WIDTH = 64 // GROUPS
 
 
-def text_fingerprint(text: str | None, words: int) -> int:
-    """SimHash of one text over XXH64 of its shingles, as an unsigned 64-bit integer."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of a text, repeats included; of the whole word sequence if it is shorter."""
     from xxhash import xxh64_intdigest
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(parts)
     if len(parts) <= words:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1) - 1
     starts = [0, *(ends[: len(parts) - words] + 1).tolist()]
-    hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype="<u8")
+    return np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype="<u8")
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 15):
-        part = hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        part = hashes[k : k + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
+def text_fingerprint(text: str | None, words: int) -> int:
+    """SimHash of one text over XXH64 of its shingles, as an unsigned 64-bit integer."""
+    return majority_bits(shingle_hashes(text, words))
+
 
+def _lanes(text: str | None, words: int, lanes: int) -> list[int]:
+    """The fingerprint, and more of its kind over rehashed shingles."""
+    hashes = shingle_hashes(text, words)
+    return [majority_bits(hashes if k == 0 else _mix(hashes, k)) for k in range(lanes)]
 
-def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """``(doc_id long, fp long)``: the fingerprint's 64 bits as a signed integer."""
+
+def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1) -> DataFrame:
+    """``(doc_id, fp, more, node)``: the first 64 bits, the other lanes packed, and a number for them all."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([text_fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            wide = np.array([_lanes(t, words, lanes) for t in batch.column(1).to_pylist()], dtype="<u8").reshape(-1, lanes)
+            fp = np.ascontiguousarray(wide[:, 0])
+            node = fp if lanes == 1 else _mix(*wide.T)
+            more = [x.tobytes() for x in wide[:, 1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(more, pa.binary()), pa.array(node.view(np.int64))], names=["doc_id", "fp", "more", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, more binary, node long")
 
 
 def _bits(fp: np.ndarray, which: list[int]) -> np.ndarray:
@@ -124,15 +143,19 @@ def _pairs_by_distance(counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.bitwise_count(np.arange(len(counts))), weights=by_xor)
 
 
+def _flips(t: int) -> tuple[int, int]:
+    """How many bits one side and the other change, so that values within t bits of each other meet."""
+    return t // 2, (t + 1) // 2
+
+
 def allocate_thresholds(pairs: list[np.ndarray], rows: int, tau: int) -> list[int]:
     """Thresholds with sum ``tau - m + 1`` and least estimated work: candidates plus probe rows."""
     m, work = len(pairs), []
     for p in pairs:
-        probes, cost, total = 1.0, {-1: 0.0}, 0.0
-        for t in range(tau + 1):
+        cost, total = {-1: 0.0}, 0.0
+        for t in range(min(tau, WIDTH - 1) + 1):
             total += p[t]
-            cost[t] = total + 20.0 * rows * probes
-            probes += float(np.prod([WIDTH - k for k in range(t + 1)]) / np.prod(range(1, t + 2)))
+            cost[t] = total + 20.0 * rows * sum(comb(WIDTH, k) for k in range(_flips(t)[1] + 1))
         work.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in work:
@@ -155,55 +178,68 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return out
 
 
-_PROBE = "key long, used long, home boolean, fp long"
+_PROBE = "key long, used long, home boolean, fp long, more binary, node long"
 
 
-def _probe_batch(key: np.ndarray, used: np.ndarray, home: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(used.view(np.int64)), pa.array(home), pa.array(fp.view(np.int64))], names=["key", "used", "home", "fp"])
+def _probe_batch(key: np.ndarray, used: np.ndarray, home: np.ndarray, rest: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(used.view(np.int64)), pa.array(home), *rest], names=["key", "used", "home", "fp", "more", "node"])
 
 
 def probes(distinct: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """Every fingerprint under its own value, and under values within the threshold, of each group."""
+    """Every fingerprint under its own value of each group and under the values around it that its threshold needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for g, (which, t) in enumerate(zip(groups, thresholds)):
+                if t < 0:
+                    continue
                 used = np.full(len(fp), sum(1 << b for b in which), dtype=np.uint64)
                 value = _bits(fp, which)
-                for k in range(t + 1):
+                near_side, far_side = _flips(t)
+                for k in range(far_side + 1):
                     for flip in combinations(range(len(which)), k):
                         near = value ^ sum(1 << b for b in flip)
-                        yield _probe_batch(_mix(np.full(len(fp), g), near), used, np.full(len(fp), k == 0), fp)
+                        yield _probe_batch(_mix(np.full(len(fp), g), near), used, np.full(len(fp), k <= near_side), batch.columns)
 
-    return distinct.select("fp").mapInArrow(run, _PROBE)
+    return distinct.select("fp", "more", "node").mapInArrow(run, _PROBE)
 
 
 def _dealt_again(rows: DataFrame, tau: int) -> DataFrame:
-    """Rows of oversized buckets under ``tau + 1`` finer keys each, over bits not used so far."""
+    """Rows of oversized buckets under ``tau + 1`` finer keys each, over bits not used so far.
+
+    Two fingerprints within ``tau`` bits agree on one of ``tau + 1`` groups of the unused bits.  Where
+    fewer bits than groups are left the bucket stays as it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, used, home, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "used", "home", "fp"))
             key, used, fp = key.view(np.uint64), used.view(np.uint64), fp.view(np.uint64)
             for mask in np.unique(used):
-                own = used == mask
+                own = np.flatnonzero(used == mask)
+                rest = [batch.column(c).take(pa.array(own)) for c in ("fp", "more", "node")]
                 free = [b for b in range(64) if not int(mask) >> b & 1]
                 for j, which in enumerate(np.array_split(free, tau + 1)):
-                    more = np.full(int(own.sum()), int(mask) | sum(1 << int(b) for b in which), dtype=np.uint64)
-                    yield _probe_batch(_mix(key[own], np.full(len(more), j), _bits(fp[own], [int(b) for b in which])), more, home[own], fp[own])
+                    more = np.full(len(own), int(mask) | sum(1 << int(b) for b in which), dtype=np.uint64)
+                    yield _probe_batch(_mix(key[own], np.full(len(more), j), _bits(fp[own], [int(b) for b in which])), more, home[own], rest)
+
+    return rows.select("key", "used", "home", "fp", "more", "node").mapInArrow(run, _PROBE)
+
 
-    return rows.select("key", "used", "home", "fp").mapInArrow(run, _PROBE)
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits over all lanes (last axis)."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int32)
 
 
-def _link_bucket(fp: np.ndarray, home: np.ndarray, tau: int) -> list[tuple[int, int]]:
+def _link_bucket(wide: np.ndarray, home: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Spanning forest of the links within one bucket, by breadth-first search over unseen members."""
-    edges, unseen = [], np.arange(len(fp))
+    edges, unseen = [], np.arange(len(wide))
     while len(unseen) > 1:
         queue, unseen = [int(unseen[0])], unseen[1:]
         while queue and len(unseen):
             k = queue.pop()
-            near = np.bitwise_count(fp[unseen] ^ fp[k]) <= tau
+            near = _apart(wide[unseen], wide[k]) <= limit
             if not home[k]:
                 near &= home[unseen]
             if near.any():
@@ -214,74 +250,82 @@ def _link_bucket(fp: np.ndarray, home: np.ndarray, tau: int) -> list[tuple[int,
     return edges
 
 
-def links(rows: DataFrame, tau: int) -> DataFrame:
-    """Verified links ``(a, b)`` between fingerprints that share a key."""
+def links(rows: DataFrame, limit: int, lanes: int = 1) -> DataFrame:
+    """Verified links ``(a, b)`` between the nodes that share a key and differ in at most ``limit`` bits."""
 
-    def linked(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def linked(key: np.ndarray, home: np.ndarray, wide: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         a, b = [], []
         pairs = start[size == 2]
-        near = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= tau
+        near = _apart(wide[pairs], wide[pairs + 1]) <= limit
         near &= home[pairs] | home[pairs + 1]
         a.append(pairs[near])
         b.append(pairs[near] + 1)
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            f = fp[s : s + n]
-            if n <= 16 and not (np.bitwise_count(f[:, None] ^ f[None, :]) <= tau)[np.triu_indices(n, 1)].any():
+            f = wide[s : s + n]
+            if n <= 128 and np.count_nonzero(_apart(f[:, None], f[None, :]) <= limit) == n:
                 continue
-            if e := _link_bucket(f, home[s : s + n], tau):
+            if e := _link_bucket(f, home[s : s + n], limit):
                 i, j = np.array(e).T
                 a.append(s + i)
                 b.append(s + j)
         i, j = np.concatenate(a), np.concatenate(b)
-        x, y = fp[i].view(np.int64), fp[j].view(np.int64)
+        x, y = node[i], node[j]
         keep = x != y
         edge = np.unique(np.stack([np.minimum(x, y)[keep], np.maximum(x, y)[keep]]), axis=1)
         return edge[0], edge[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+
         def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             a, b = linked(*(np.concatenate(c) for c in zip(*parts)))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, home, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "home", "fp"))
-            fp = fp.view(np.uint64)
+            key, home, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "home", "fp", "node"))
+            more = np.frombuffer(b"".join(batch.column("more").to_pylist()), dtype="<u8").reshape(len(key), lanes - 1)
+            wide = np.concatenate([fp.view(np.uint64)[:, None], more], axis=1)
             cut = int(np.searchsorted(key, key[-1]))  # sorted: the last bucket may go on
-            if cut or held and held[-1][0][-1] != key[-1]:
-                yield flush([*held, (key[:cut], home[:cut], fp[:cut])])
+            if cut or (held and held[-1][0][-1] != key[-1]):
+                yield flush([*held, (key[:cut], home[:cut], wide[:cut], node[:cut])])
                 held = []
-            held.append((key[cut:], home[cut:], fp[cut:]))
+            held.append((key[cut:], home[cut:], wide[cut:], node[cut:]))
         if held:
             yield flush(held)
 
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "home", "fp").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "home", "fp", "more", "node").mapInArrow(run, "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 3, lanes: int = 1, limit: int | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per document; component_id is the smallest doc_id that links reach.
 
-def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per document; component_id is the smallest doc_id that links reach."""
-    docs_fp = materialise(fingerprints(docs, words), "fingerprints")
-    distinct = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    Links are fingerprints that differ in at most ``limit`` bits over all ``lanes`` of 64 bits, found
+    exactly among those within ``tau`` bits on the first lane; by default one lane and ``limit = tau``.
+    """
+    docs_fp = materialise(fingerprints(docs, words, lanes), "fingerprints")
+    distinct = materialise(docs_fp.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("doc_id").alias("first_id")), "distinct")
     groups = bit_groups(distinct)
     thresholds = allocate_thresholds(_histograms(distinct, groups), distinct.count(), tau)
-    rows, edges = probes(distinct, groups, thresholds), None
+    limit, rows, edges = tau if limit is None else limit, probes(distinct, groups, thresholds), None
+    finer = True
     while True:
         rows = materialise(rows, "probes")
-        large = rows.groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
-        full = not large.isEmpty()
-        found = links(rows.join(large, "key", "left_anti") if full else rows, tau)
+        large = rows.filter(F.bit_count("used") + tau + 1 <= 64).groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
+        finer = not large.isEmpty()
+        found = links(rows.join(large, "key", "left_anti") if finer else rows, limit, lanes)
         edges = found if edges is None else edges.union(found)
-        if not full:
+        if not finer:
             break
         rows = _dealt_again(rows.join(large, "key", "left_semi"), tau)
-    roots = connected_components(edges)
-    labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    roots = connected_components(edges).withColumnRenamed("node", "of")
+    labelled = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("fp", "component_id")
-    return docs_fp.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = labelled.join(smallest, "root").select("node", "component_id")
+    return docs_fp.join(classes, "node").select("doc_id", "fp", "component_id")
 
 
 def _histograms(distinct: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
@@ -306,7 +350,25 @@ def _histograms(distinct: DataFrame, groups: list[list[int]]) -> list[np.ndarray
     return out
 
 
-def one_of_each(docs: DataFrame, words: int = 5, tau: int = 3) -> DataFrame:
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits between texts whose shingle sets have this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """Classes of documents whose shingle sets have about ``similarity`` or more, judged by ``lanes`` x 64 bits.
+
+    The judgement allows half a standard deviation over the expected differing bits; candidates are
+    exact up to one bit over the expectation on the first lane, and all farther ones that meet anyway.
+    """
+    share = differing_share(similarity)
+    bits = 64 * lanes
+    limit = int(bits * share + 0.5 * sqrt(bits * share * (1 - share)))
+    return near_duplicates(docs, words, ceil(64 * share) + 1, lanes, limit)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents whose near-duplicate class has a smaller doc_id; rows without an id stay."""
-    dropped = near_duplicates(docs, words, tau).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    classes = similar_classes(docs.filter("doc_id is not null"), words, similarity)
+    dropped = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("copy_id"), "left_anti").select(docs.columns)

@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -411,3 +412,40 @@ def removed_runs(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in batch.column("bytes").to_pylist()], pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.binary())], names=["doc_id", "n_bytes", "kept", "removed"])
 
     return joined.select("doc_id", "bytes", "packed").mapInArrow(finish, "doc_id long, n_bytes long, kept binary, removed binary")
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
+    """``docs`` with repeated strings cut out of ``text``, and ``n_chars``, where there is one, set anew.
+
+    Runs are narrowed to whole characters, so the text stays valid; a null text stays null, and rows
+    without an id are kept as they are.
+    """
+    spark = docs.sparkSession
+    runs = removed_runs(docs.filter("doc_id is not null").select("doc_id", "text"), min_bytes).filter(F.octet_length("removed") > 0)
+    cuts = runs.groupBy("doc_id").agg(F.first("removed").alias("cuts")).withColumnRenamed("doc_id", "cut_id")
+
+    @F.pandas_udf("string")
+    def shortened(text: pd.Series, cuts: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or c is None else _without(t, c) for t, c in zip(text, cuts)], dtype=object)
+
+    small_batches(spark)
+    out = docs.join(cuts, F.col("doc_id") == F.col("cut_id"), "left")
+    out = out.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(shortened("text", "cuts")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
+
+
+def _without(text: str, cuts: bytes) -> str:
+    data = text.encode("utf-8")
+    at, out = 0, []
+    for a, b in np.frombuffer(cuts, dtype="<i4").reshape(-1, 2).tolist():
+        a, b = min(a, len(data)), min(b, len(data))
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(data[at:a])
+        at = max(at, b)
+    out.append(data[at:])
+    return b"".join(out).decode("utf-8")
