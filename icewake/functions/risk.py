@@ -9,6 +9,8 @@ from .geo import clip
 
 ICE_EXPONENT, WAVE_EXPONENT = 1.5, 2.0
 SOFT_START, SOFT_WEIGHT = 0.7, 3.0
+# fixed values: below these (density: above) a cell is safe
+SAFE_SIC, SAFE_THICKNESS, SAFE_WAVE, SAFE_DENSITY = 0.30, 1.0, 4.0, 0.10
 
 
 def demo_ice_risk(lat: Column, is_land: Column, penalty: float = 4.0, threshold: float = 75.0) -> Column:
@@ -119,6 +121,14 @@ def season_factor(month: Column) -> Column:
 
 
 def safe_label(sic: Column, wave: Column, thickness: Column, density: Column) -> Column:
-    """1 where ice, waves and thickness are mild and ships have passed, else 0 (F04, rule of thresholds)."""
-    calm = (sic <= 0.3) & (wave <= 2.5) & (thickness <= 0.5) & (density > 0)
+    """1 where ships pass and ice, waves and thickness (or no data on it) are mild, else 0.
+
+    The rule for risky cells has thresholds of its own, but all that is not safe is labelled 0 anyway.
+    """
+    calm = (density > SAFE_DENSITY) & (sic < SAFE_SIC) & (thickness.isNull() | (thickness < SAFE_THICKNESS)) & (wave < SAFE_WAVE)
     return F.when(calm, 1).otherwise(0)
+
+
+def resolved_exponent(explicit: Column, fitted: Column, scenario: Column, default: float) -> Column:
+    """The exponent that counts: given, else fitted for the month, else the scenario's, else the default."""
+    return F.coalesce(explicit, fitted, scenario, F.lit(default))

@@ -133,7 +133,7 @@ _over_cells(
 )
 _over_cells(
     "f04_safe_label",
-    "CASE WHEN sic <= 3e-1 AND wave <= 25e-1 AND thick <= 5e-1 AND density > 0 THEN 1 ELSE 0 END::INTEGER AS label",
+    "CASE WHEN density > 1e-1 AND sic < 3e-1 AND (thick IS NULL OR thick < 1) AND wave < 4 THEN 1 ELSE 0 END::INTEGER AS label",
     lambda: {"label": risk.safe_label(_C["sic"], _C["wave"], _C["thick"], _C["density"])},
 )
 _over_cells(
@@ -476,8 +476,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_evaluation  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
