@@ -17,6 +17,7 @@ from icewake.llm import (
     license_scan,
     lm_scores,
     media_scenes,
+    open_lm_scores,
     quality_crf,
     queries,
     sentencepiece_codec,
@@ -272,6 +273,28 @@ def test_op8_equals_sql(spark, real, odd, none):
     assert {r["doc_id"]: r["n_words"] for r in lm_scores.score_documents(odd).collect()}[0] == 0
 
 
+def test_op8_open_vocabulary_counts_every_word(spark, real, odd, none):
+    frame = spark.createDataFrame(list(real.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["log_score"]) for r in open_lm_scores.score_documents(frame).collect()}
+    for d, n, s in duck_rows(f"select doc_id, n_words, log_score from ({open_lm_scores.ORACLE})", documents=frame):
+        assert got[d][0] == n and got[d][1] == pytest.approx(s, abs=1e-4)
+    assert open_lm_scores.score_documents(none).count() == 0
+    assert {r["doc_id"]: r["n_words"] for r in open_lm_scores.score_documents(odd).collect()}[0] == 0
+
+
+def test_op8_rare_words_stay_apart(spark, monkeypatch):
+    # 70,000 words that occur once, more than VOCABULARY: as one unknown word each would score as if it were frequent
+    rows = [(0, "the sea the sea"), (1, "sea"), (2, " ".join(f"junk{k}" for k in range(70_000)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (2_500_000, 2):
+        monkeypatch.setattr(open_lm_scores, "BATCH_WORDS", words)
+        got = {r["doc_id"]: r["log_score"] for r in open_lm_scores.score_documents(frame).collect()}
+        total = np.log(70_005)
+        assert got[0] == pytest.approx(np.log(2) - total + np.log(2 / 2) + np.log(1 / 3) + np.log(2 / 2))
+        assert got[1] == pytest.approx(np.log(3) - total)
+        assert got[2] == pytest.approx(-total)
+
+
 def test_op9_finds_notices_and_leaves_prose(spark, odd, none):
     model = license_scan.fit([p.split() for p in (b"the river is wide and calm", b"she wrote a letter to the office", b"un texte sans licence aucune")])
     notices = {"mit": "x Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc": "Licensed under CC BY-NC 4.0."}
