@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from icewake import registry
 from icewake.operators import alignment, calibration, checks, fleet, grid, inventory, profiles
 from icewake.plans import domain_tables
 
@@ -84,3 +85,17 @@ def test_aligned_is_zero_outside(spark):
     values = grid.demo_grid(spark).select("i", "j", source.alias("value"))
     target = spark.createDataFrame([(0, 0, 70.0, 50.0), (0, 1, 60.0, 50.0), (0, 2, 70.0, -20.0)], "i long, j long, lat double, lon double")
     assert sorted(tuple(r) for r in alignment.aligned(values, grid.DEMO, target).collect()) == [(0, 0, 1.0), (0, 1, 0.0), (0, 2, 0.0)]
+
+
+def test_all_points_visit_cells(spark, monkeypatch):
+    axes = grid.DEMO
+    at = lambda i, j: (65 + i * 15 / 39, j * 160 / 79)
+    # ids that 7 does not divide, cells east of 140 degrees, one on land (j >= 70), one without a position
+    places = {1: (0, 0), 2: (0, 0), 7: (3, 4), 9: (39, 69), 10: (5, 75)}
+    rows = [(k, *at(*c)) for k, c in places.items()] + [(11, None, 1.0)]
+    points = spark.createDataFrame(rows, "point_id long, lat double, lon double")
+    monkeypatch.setattr(domain_tables, "points", lambda *_: points)
+    visited = {tuple(r) for r in registry.queries()["r10_all_visited_cells"](spark, "").select("i", "j").collect()}
+    assert visited == {(0, 0), (3, 4), (39, 69)}
+    unvisited = [tuple(r) for r in registry.queries()["r16_all_unvisited_cells"](spark, "").collect()]
+    assert len(unvisited) == axes.ny * 70 - 3 and not visited & set(unvisited)
