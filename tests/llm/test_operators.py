@@ -159,6 +159,20 @@ def test_op3_finds_edited_views(spark):
     assert image_copies.copy_classes(odd.limit(0)).count() == 0
 
 
+def test_op3_links_in_large_buckets_do_not_hang_on_the_first_image(spark):
+    # 82 images have the same six patches, so each patch makes buckets over SMALL; only images 50 and 51 have them in one layout
+    rng = np.random.default_rng(1)
+    patches = rng.integers(-(1 << 63), 1 << 63, (6, 2))
+    layout = rng.uniform(0, 1000, (6, 2))
+    rows = []
+    for image in range(82):
+        at = layout + 30 * (image - 50) if image in (50, 51) else rng.uniform(0, 1000, (6, 2))
+        rows += [(image, k, float(x), float(y), 1.0, 0.0, int(low), int(high)) for k, ((x, y), (low, high)) in enumerate(zip(at, patches))]
+    assert 82 > image_copies.SMALL
+    links = image_copies.copy_links(spark.createDataFrame(rows, image_copies._DESCRIPTORS)).collect()
+    assert [(r["a"], r["b"]) for r in links] == [(50, 51)]
+
+
 def test_op4_held_out_accuracy(spark):
     rows = queries.op4_quality_crf(spark, "/root/testdata/sf0.01").toPandas()
     labels = duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchdf()
