@@ -39,6 +39,11 @@ def nearest_cells(points: DataFrame, cells: DataFrame, tile: float = 1.0) -> Dat
         tile *= 4
 
 
+def nearest_ocean_anywhere(points: DataFrame, cells: DataFrame, tile: float = 1.0) -> DataFrame:
+    """Each point's nearest ocean cell, however far."""
+    return nearest_cells(points, cells.filter("not is_land"), tile).select("point_id", "i", "j")
+
+
 def nearest_resample(source: DataFrame, target: DataFrame, tile: float = 1.0) -> DataFrame:
     """``source`` (i, j, lat, lon, value) at the cells of ``target`` (i, j, lat, lon)."""
     ids = target.select(F.struct("i", "j").alias("point_id"), "lat", "lon")

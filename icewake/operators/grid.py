@@ -67,7 +67,7 @@ def stride(cells: DataFrame, every: int) -> DataFrame:
 
 
 def nearest_ocean(points: DataFrame, cells: DataFrame, axes: GridAxes, radius: int = 10) -> DataFrame:
-    """Each point's nearest ocean cell within ``radius`` cells of its own cell; the first in row order wins.
+    """Each point's nearest ocean cell within ``radius`` cells of its own cell; the first in row order wins.
 
     The cells around a point are generated and looked up by index, an equi-join, so the work is
     (2 radius + 1)^2 rows a point whatever the size of the grid.

@@ -16,11 +16,17 @@ def in_time(points: DataFrame, start: str | None = None, end: str | None = None)
 
 
 def valid(points: DataFrame, south: float = 60.0, north: float = 90.0, max_knots: float = 60.0) -> DataFrame:
-    """Positions on the globe and in the range, speeds that are plausible or missing."""
+    """Positions on the globe and in the range, speeds that are plausible or missing."""
     on_globe = F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & F.col("lat").between(south, north)
     return points.filter(on_globe & F.col("mmsi").isNotNull() & F.col("ts").isNotNull() & (F.col("sog").isNull() | (F.abs("sog") <= max_knots)))
 
 
+def complete(points: DataFrame) -> DataFrame:
+    """Rows with all five fields, a position on the globe and a speed that is not negative."""
+    given = points.dropna(subset=["ts", "lat", "lon", "sog", "mmsi"])
+    return given.filter(F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & (F.col("sog") >= 0))
+
+
 def in_month(points: DataFrame, year_month: str) -> DataFrame:
     """Rows of one month, given as YYYYMM."""
     return points.filter(F.date_format("ts", "yyyyMM") == year_month)

@@ -64,7 +64,7 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     if pd.isna(first["start_i"]) or pd.isna(first["goal_i"]):
         path, why = [], "no_ocean_start" if pd.isna(first["start_i"]) else "no_ocean_goal"
     else:
-        path, why = least_cost_path(cost, (int(first["start_i"]), int(first["start_j"])), (int(first["goal_i"]), int(first["goal_j"])))
+        path, why = least_cost_path(cost, (int(first["start_i"]), int(first["start_j"])), (int(first["goal_i"]), int(first["goal_j"])), most=None if pd.isna(first["most"]) else int(first["most"]))
     if not path:
         return pd.DataFrame([(first["run_id"], -1, None, None, None, why)], columns=[c.split()[0] for c in ROUTE.split(", ")])
     return pd.DataFrame({"run_id": first["run_id"], "seq": range(len(path)), "i": [c[0] for c in path], "j": [c[1] for c in path], "step_cost": [cost[c] for c in path], "reason": ""})
@@ -73,10 +73,12 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
 def search_routes(fields: DataFrame, runs: DataFrame) -> DataFrame:
     """Routes of ``runs`` (run_id, start_i, start_j, goal_i, goal_j) over ``fields`` (run_id, i, j, cost).
 
-    A row per step; a run without a route is one row with seq -1 and the reason.
+    A row per step; a run without a route is one row with seq -1 and the reason.  A run that gives ``most``
+    looks at no more cells than that.
     """
     cells = fields.filter("cost is not null").select("run_id", "i", "j", "cost")
-    both = runs.join(cells, "run_id", "left").select("run_id", "i", "j", "cost", "start_i", "start_j", "goal_i", "goal_j")
+    runs = runs if "most" in runs.columns else runs.withColumn("most", F.lit(None).cast("long"))
+    both = runs.join(cells, "run_id", "left").select("run_id", "i", "j", "cost", "start_i", "start_j", "goal_i", "goal_j", "most")
     return both.groupBy("run_id").applyInPandas(_search, ROUTE)
 
 

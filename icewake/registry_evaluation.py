@@ -349,6 +349,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return alignment.unvisited_cells(_hit(spark, d), grid.demo_grid(spark))
 
 
+@_query("p05_complete_points", f"WITH {t.POINTS} SELECT point_id, lat, lon, sog FROM points WHERE ts IS NOT NULL AND mmsi IS NOT NULL AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND sog >= 0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return points.complete(t.points(spark, d)).select("point_id", "lat", "lon", "sog")
+
+
+@_query(
+    "r08_nearest_ocean_anywhere",
+    f"""WITH {t.POINTS}, g AS (SELECT id // 80 AS i, id % 80 AS j, 65 + (id // 80) * (15e0 / 39) AS clat, 0 + (id % 80) * (160e0 / 79) AS clon FROM (SELECT unnest(range(3200)) AS id) WHERE id % 80 < 70),
+m AS (SELECT point_id, i, j, row_number() OVER (PARTITION BY point_id ORDER BY (clat - lat) * (clat - lat) + (clon - lon) * (clon - lon), i, j) AS r FROM points, g) SELECT point_id, i, j FROM m WHERE r = 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.nearest_ocean_anywhere(t.points(spark, d), grid.demo_grid(spark), 4.0)
+
+
 _ALL_HIT = f"{t.POINTS}, hit AS (SELECT DISTINCT greatest(0, least(39, ceil((lat - 65e0) / (15e0 / 39) - 5e-1)))::BIGINT AS i, greatest(0, least(79, ceil((lon - 0e0) / (160e0 / 79) - 5e-1)))::BIGINT AS j FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL)"
 
 

@@ -4,7 +4,8 @@ import random
 import pytest
 
 from icewake import registry
-from icewake.operators import alignment, calibration, checks, fleet, grid, inventory, profiles
+from icewake.operators import alignment, calibration, checks, fleet, grid, inventory, profiles, search
+from icewake.operators import points as tracking
 from icewake.plans import domain_tables
 
 
@@ -99,3 +100,17 @@ def test_all_points_visit_cells(spark, monkeypatch):
     assert visited == {(0, 0), (3, 4), (39, 69)}
     unvisited = [tuple(r) for r in registry.queries()["r16_all_unvisited_cells"](spark, "").collect()]
     assert len(unvisited) == axes.ny * 70 - 3 and not visited & set(unvisited)
+
+
+def test_complete_points_far_cells_and_bounded_search(spark):
+    rows = [(1, 1, "t", 70.0, 0.0, 5.0), (2, 1, "t", 70.0, 0.0, -1.0), (3, 1, "t", 70.0, 0.0, None), (4, None, "t", 70.0, 0.0, 5.0), (5, 1, None, 70.0, 0.0, 5.0), (6, 1, "t", 91.0, 0.0, 5.0), (7, 1, "t", 10.0, 0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "point_id long, mmsi long, ts string, lat double, lon double, sog double")
+    assert {r["point_id"] for r in tracking.complete(frame).collect()} == {1, 7}
+    far = spark.createDataFrame([(1, 70.0, 160.0), (2, -60.0, -170.0)], "point_id long, lat double, lon double")
+    cells = spark.createDataFrame([(0, 0, 70.0, 0.0, False), (0, 79, 70.0, 160.0, True)], "i long, j long, lat double, lon double, is_land boolean")
+    assert {tuple(r) for r in alignment.nearest_ocean_anywhere(far, cells).collect()} == {(1, 0, 0), (2, 0, 0)}
+    fields = spark.createDataFrame([(run, i, j, 1.0) for run in "ab" for i in range(5) for j in range(5)], "run_id string, i long, j long, cost double")
+    runs = spark.createDataFrame([("a", 0, 0, 4, 4, 2), ("b", 0, 0, 4, 4, None)], "run_id string, start_i long, start_j long, goal_i long, goal_j long, most long")
+    found = search.search_routes(fields, runs).collect()
+    assert [(r["seq"], r["reason"]) for r in found if r["run_id"] == "a"] == [(-1, "max_expansions_reached")]
+    assert sum(r["run_id"] == "b" for r in found) == 5
