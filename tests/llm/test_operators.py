@@ -12,6 +12,7 @@ import pytest
 from icewake.llm import (
     best_fit_packing,
     chat_rotation,
+    components,
     hilbert_neighbours,
     image_copies,
     license_scan,
@@ -159,18 +160,92 @@ def test_op3_finds_edited_views(spark):
     assert image_copies.copy_classes(odd.limit(0)).count() == 0
 
 
-def test_op3_links_in_large_buckets_do_not_hang_on_the_first_image(spark):
-    # 82 images have the same six patches, so each patch makes buckets over SMALL; only images 50 and 51 have them in one layout
+def _points(rng, layout, patches, shift=0.0):
+    p = np.empty(len(layout), dtype=image_copies._POINT)
+    p["x"], p["y"] = layout[:, 0] + shift, layout[:, 1]
+    p["bits"], p["weak"] = patches, 0
+    return p
+
+
+def _linked(spark, images):
+    frame = spark.createDataFrame([(k, bytearray(p.tobytes())) for k, p in images.items()], "image_id long, points binary")
+    return sorted((r["a"], r["b"]) for r in image_copies.copy_links(frame).collect())
+
+
+def test_op3_links_in_large_tables_do_not_hang_on_the_first_image(spark):
+    # 82 images have the same six patches; only images 50 and 51 have them in one layout
     rng = np.random.default_rng(1)
-    patches = rng.integers(-(1 << 63), 1 << 63, (6, 2))
-    layout = rng.uniform(0, 1000, (6, 2))
-    rows = []
-    for image in range(82):
-        at = layout + 30 * (image - 50) if image in (50, 51) else rng.uniform(0, 1000, (6, 2))
-        rows += [(image, k, float(x), float(y), 1.0, 0.0, int(low), int(high)) for k, ((x, y), (low, high)) in enumerate(zip(at, patches))]
-    assert 82 > image_copies.SMALL
-    links = image_copies.copy_links(spark.createDataFrame(rows, image_copies._DESCRIPTORS)).collect()
-    assert [(r["a"], r["b"]) for r in links] == [(50, 51)]
+    patches, layout = rng.integers(0, 256, (6, 32)), rng.uniform(0, 1000, (6, 2))
+    images = {k: _points(rng, layout if k in (50, 51) else rng.uniform(0, 1000, (6, 2)), patches, 30.0 * (k == 51)) for k in range(82)}
+    assert 82 > image_copies.COMMON and _linked(spark, images) == [(50, 51)]
+
+
+def test_op3_common_corners_make_no_candidates_and_lose_no_link(spark):
+    # 90 images share four patches; images 10 and 20 share five more in one layout
+    rng = np.random.default_rng(2)
+    logo, own, at = rng.integers(0, 256, (4, 32)), rng.integers(0, 256, (5, 32)), rng.uniform(0, 500, (9, 2))
+    images = {k: _points(rng, at if k in (10, 20) else rng.uniform(0, 500, (9, 2)), np.concatenate([logo, own if k in (10, 20) else rng.integers(0, 256, (5, 32))])) for k in range(90)}
+    assert _linked(spark, images) == [(10, 20)]
+
+
+def _view(a, angle=0.0, ratio=1.0, side=None):
+    """Bilinear view of ``a``, turned and rescaled about its middle."""
+    side = side or int(min(a.shape) / 1.5)
+    y, x = np.mgrid[:side, :side] - (side - 1) / 2
+    c, s = np.cos(angle) / ratio, np.sin(angle) / ratio
+    sx, sy = c * x - s * y + (a.shape[1] - 1) / 2, s * x + c * y + (a.shape[0] - 1) / 2
+    i, j = np.floor(sy).astype(int), np.floor(sx).astype(int)
+    fy, fx = sy - i, sx - j
+    return (a[i, j] * (1 - fy) + a[i + 1, j] * fy) * (1 - fx) + (a[i, j + 1] * (1 - fy) + a[i + 1, j + 1] * fy) * fx
+
+
+def _photograph(seed, side=256):
+    rng = np.random.default_rng(seed)
+    a, at = np.full((side, side), 128.0), np.arange(side) / (side - 1)
+    for cells, depth in ((4, 40), (12, 40), (32, 40), (64, 30)):
+        w = np.maximum(0, 1 - np.abs(at[:, None] * cells - np.arange(cells + 1)))
+        a += depth * (w @ rng.uniform(-1, 1, (cells + 1, cells + 1)) @ w.T)
+    return a
+
+
+@pytest.mark.parametrize(("angle", "ratio", "side", "least"), [(0, 1, 128, 1.0), (90, 1, 128, 1.0), (15, 1, 150, 0.9), (45, 1, 150, 0.9), (0, 1.5, 170, 0.9), (0, 0.67, 150, 0.9)])
+def test_op3_views_of_large_images(angle, ratio, side, least):
+    turned, agreed, met = image_copies.turned_tests(), 0, 0
+    for k in range(12):
+        a = _photograph(k)
+        first, second = (image_copies.describe(np.clip(np.rint(x), 0, 255).astype(np.uint8)[None], turned)[0] for x in (a, _view(a, np.radians(angle), ratio, side) * 1.05 + 4))
+        agreed += image_copies.consensus(first, second) >= image_copies.CONSENSUS
+        values = [set() for _ in range(2)]
+        for x, seen in zip((first, second), values):
+            for p in x:
+                for t, which in enumerate(image_copies.table_bits()):
+                    bits = np.unpackbits(p["bits"], bitorder="little")[which]
+                    seen |= {(t, bits.tobytes()), (t, (bits ^ (np.arange(len(which)) == p["weak"][t])).astype(np.uint8).tobytes())}
+        met += bool(values[0] & values[1])
+    assert agreed / 12 >= least and met / 12 >= least
+
+
+def test_op3_tables_lose_few_of_the_links_of_all_pairs(spark):
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(160)
+    found = image_copies.described(media_scenes.pictures(vectors)).toPandas()
+    points = {k: np.frombuffer(p, dtype=image_copies._POINT) for k, p in zip(found.image_id, found.points)}
+    ids = sorted(points)
+    want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if image_copies.consensus(points[a], points[b]) >= image_copies.CONSENSUS}
+    got = set(_linked(spark, points))
+    assert len(want) > 10 and got <= want and len(got) >= 0.9 * len(want)
+
+
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
+    rounds = []
+    keep = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, label: rounds.append(label) or keep(df, label))
+    path = spark.range(999).selectExpr("id as a", "id + 1 as b")
+    rows = components.connected_components(path).collect()
+    assert len(rows) == 1000 and {r["root"] for r in rows} == {0}
+    assert rounds.count("jump") + rounds.count("chain") <= 15
+    hub = spark.range(300).selectExpr("id as a", "1000 as b").union(spark.range(2).selectExpr("2000 + id as a", "2001 + id as b"))
+    roots = {r["node"]: r["root"] for r in components.connected_components(hub).collect()}
+    assert {roots[k] for k in [*range(300), 1000]} == {0} and {roots[k] for k in (2000, 2001, 2002)} == {2000}
 
 
 def test_op4_held_out_accuracy(spark):
