@@ -4,13 +4,16 @@ Every curve projects the vectors to a few dimensions, shifts them, and orders th
 index.  Spark range-partitions the rows by index and numbers them, so that a row's neighbours on the
 curve are the rows of nearby rank whatever the skew.  Ranks are cut into blocks of bounded size; each
 query visits the blocks its window covers, and the exact distances of all rows met merge over the
-curves.  The window is fitted: for a bounded sample of queries the true neighbours are found against
-all rows, in blocks, and the window is the smallest that meets the wanted share of them on some curve.
+curves.  Curves and window are fitted: for a bounded sample of queries the true neighbours are found
+against all rows, in blocks, and of all numbers of curves with the least window that meets the wanted share
+of the neighbours on some curve, the one that visits the fewest rows is taken.  Vectors in clusters get many
+curves and narrow windows; vectors without structure get few curves and wide windows, up to the one curve whose
+window is all rows, so no more distances are computed than by brute force, but for rounding to blocks.
 
 Identical vectors are one point with its smallest ids, as many as an answer can need, so no group of
 copies is ever large.  Defined results: vectors that are null, zero, or hold null or non-finite
-components, and rows without an id, take no part; vectors of another length than the commonest take
-none either; a repeated (id, vector) row counts once, an id with several vectors as several points, of
+components, and rows without an id, take no part; distances need one length, that given or else the commonest,
+and vectors of another take no part; a repeated (id, vector) row counts once, an id with several vectors as several points, of
 which an answer names the nearest; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-CURVES = 8
+CURVES = 8  # at most
 DIMENSIONS = 6
 BITS = 10
 BLOCK = 2048
-SAMPLE_ROWS = 5000  # rows that fit the ranges of the projections
+SAMPLE_ROWS = 5000  # rows that fit the ranges of the projections and tell ranks from keys
 SAMPLE_QUERIES = 100  # queries that fit the window
-COVERAGE = 0.97  # share of the sample's true neighbours that the window has to meet
+COVERAGE = 0.96  # share of the sample's true neighbours that the window has to meet
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -90,8 +93,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def points(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
-    """Distinct usable vectors with their k + 1 smallest ids, and their length."""
+def points(vectors: DataFrame, k: int, length: int | None = None) -> DataFrame:
+    """Distinct usable vectors with their k + 1 smallest ids."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
         F.col("vec_id").isNotNull()
@@ -99,12 +102,13 @@ def points(vectors: DataFrame, k: int) -> tuple[DataFrame, int]:
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    sizes = usable.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").take(1)
-    length = sizes[0]["length"] if sizes else 0
+    if length is None:
+        sizes = usable.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").take(1)
+        length = sizes[0]["length"] if sizes else 0
     # minus zero and zero are one value; the ranking drops all but k + 1 ids of a vector before the shuffle
     rows = usable.filter(F.size("v") == length).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
     least = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
-    return least.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("pid", F.element_at("ids", 1)), length
+    return least.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("pid", F.element_at("ids", 1))
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +168,10 @@ def _scan(blocks: DataFrame, k: int) -> DataFrame:
     return blocks.select("curve", "block", "visit", "pid", "v").mapInArrow(run, _FOUND)
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, coverage: float = COVERAGE) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, coverage: float = COVERAGE, length: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for ids divisible by ``every``, the k nearest other rows found."""
     spark = vectors.sparkSession
-    found, length = points(vectors, k)
-    found = materialise(found, "points")
+    found = materialise(points(vectors, k, length), "points")
     schema = "query_id long, rank int, vec_id long, score double"
     rows = found.agg(F.sum(F.lit(1))).first()[0] or 0
     if not rows:
@@ -176,11 +179,15 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, coverage: float =
     by_hash = F.xxhash64("pid")
     sample = np.array([r["v"] for r in found.orderBy(by_hash, "pid").limit(SAMPLE_ROWS).select("v").collect()])
     curves = Curves(sample, CURVES, DIMENSIONS, BITS)
+    asked = materialise(_queries(vectors, found, every), "queries")
+    query_points = asked.select("pid").distinct()
+    chosen, share = cheapest(rank_gaps(curves, sample, *_true_neighbours(found, query_points, k)), coverage)
+    window = int(np.ceil(share * rows))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v = _matrix(b.column("v"))
-            for c in range(CURVES):
+            for c in range(chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c, dtype=np.int32)), pa.array(curves.keys(v, c)), b.column("pid"), b.column("v")], names=["curve", "key", "pid", "v"])
 
     placed = found.select("pid", "v").mapInArrow(place, "curve int, key long, pid long, v array<double>")
@@ -190,9 +197,6 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, coverage: float =
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # curves x partitions rows
     ranked = numbered.join(F.broadcast(starts), ["curve", "part"]).select("curve", "pid", "v", (F.col("start") + F.col("local")).alias("at"))
-    asked = materialise(_queries(vectors, found, every), "queries")
-    query_points = asked.select("pid").distinct()
-    window = _fitted_window(ranked, found, query_points, k, coverage, rows)
     stored = ranked.select("curve", F.expr(f"at div {BLOCK}").alias("block"), F.lit(False).alias("visit"), "pid", "v")
     own = ranked.join(query_points, "pid")
     last = (rows - 1) // BLOCK
@@ -216,12 +220,12 @@ def _queries(vectors: DataFrame, found: DataFrame, every: int) -> DataFrame:
     return rows.join(found.select("v", "pid"), "v").select("query_id", "pid")
 
 
-def _fitted_window(ranked: DataFrame, found: DataFrame, query_points: DataFrame, k: int, coverage: float, rows: int) -> int:
-    """Smallest window that meets ``coverage`` of the true neighbours of a bounded sample of queries."""
-    chosen = query_points.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE_QUERIES)
-    asked = chosen.join(found.select("pid", "v"), "pid").collect()  # SAMPLE_QUERIES rows
+def _true_neighbours(found: DataFrame, query_points: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a bounded sample of queries, one for each of their k true neighbours, and those neighbours' vectors."""
+    sampled = query_points.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE_QUERIES)
+    asked = sampled.join(found.select("pid", "v"), "pid").collect()  # SAMPLE_QUERIES rows
     if not asked:
-        return 0
+        return np.empty((0, 0)), np.empty((0, 0))
     q_ids, q = np.array([r["pid"] for r in asked]), np.array([r["v"] for r in asked])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,11 +236,30 @@ def _fitted_window(ranked: DataFrame, found: DataFrame, query_points: DataFrame,
 
     order = Window.partitionBy("query_pid").orderBy("score", "pid")
     true = found.select("pid", "v").mapInArrow(brute, _FOUND).filter("pid <> query_pid").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
-    true = true.select("query_pid", "pid").collect()  # SAMPLE_QUERIES x k rows
-    wanted = sorted({x for r in true for x in (r["query_pid"], r["pid"])})
-    ids = found.sparkSession.createDataFrame([(x,) for x in wanted], "pid long")
-    at = {(r["curve"], r["pid"]): r["at"] for r in ranked.select("curve", "pid", "at").join(F.broadcast(ids), "pid").collect()}
-    gaps = sorted(min(abs(at[c, r["query_pid"]] - at[c, r["pid"]]) for c in range(CURVES)) for r in true)
-    if not gaps:
-        return 0
-    return int(gaps[min(len(gaps) - 1, int(np.ceil(coverage * len(gaps))))])
+    pairs = true.select("query_pid", "pid").join(found.select("pid", "v"), "pid").collect()  # SAMPLE_QUERIES x k rows
+    at = {int(i): x for i, x in zip(q_ids, q)}
+    return np.array([at[r["query_pid"]] for r in pairs]), np.array([r["v"] for r in pairs])
+
+
+def rank_gaps(curves: Curves, sample: np.ndarray, queries: np.ndarray, neighbours: np.ndarray) -> np.ndarray:
+    """Share of all rows, told by the sample, that lie between each query and its neighbour on each curve: (CURVES, pairs)."""
+    gaps = np.empty((len(curves.axes), len(queries)))
+    for c in range(len(gaps) if len(queries) else 0):
+        order = np.sort(curves.keys(sample, c))
+        rank = lambda v: (np.searchsorted(order, curves.keys(v, c), "left") + np.searchsorted(order, curves.keys(v, c), "right")) / 2
+        gaps[c] = (np.abs(rank(queries) - rank(neighbours)) + 1) / len(sample)
+    return np.minimum(gaps, 1.0)
+
+
+def cheapest(gaps: np.ndarray, coverage: float) -> tuple[int, float]:
+    """Number of curves and window, as a share of the rows on either side, with the fewest rows visited at this coverage."""
+    best = (1, 0.0, np.inf)
+    for c in range(1, len(gaps) + 1):
+        nearest_curve = np.sort(gaps[:c].min(axis=0))
+        if not len(nearest_curve):
+            break
+        window = float(nearest_curve[min(len(nearest_curve) - 1, int(np.ceil(coverage * len(nearest_curve))))])
+        visited = c * min(1.0, 2 * window - window * window)  # windows are cut off at the ends of the curve
+        if visited < best[2]:
+            best = (c, window, visited)
+    return best[:2]

@@ -9,9 +9,14 @@ meet are verified.  A bucket that grows past ``BUCKET`` is dealt out again by th
 the bits it has not used yet, so no bucket, and no pair within one, has to be dropped.  A bucket
 reports a spanning forest of its links, not all its pairs.
 
+For a stated similarity of shingle sets (``similar_classes``) fingerprints are wide: ``LANES`` lanes of 64
+bits over rehashed shingles, every lane probed as above, so that a pair has to come close on one of
+many lanes only; those that meet and are near over ``SKETCH`` lanes are compared shingle by shingle.
+
 Defined results: null and wordless texts have fingerprint zero, linked like any other; equal
 fingerprints are one node, so exact copies never multiply; rows with a repeated doc_id count as one
-document; an empty table gives an empty table; other input columns are ignored.
+document; rows without a doc_id link nothing and belong with equal fingerprints, if any; an empty table
+gives an empty table; other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,19 +24,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 from math import acos, ceil, comb, pi, sqrt
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import discard, materialise, small_batches
 from .components import connected_components
+from .linked_groups import class_links
 
 SEED = 42
 BUCKET = 4096
 GROUPS = 4
 WIDTH = 64 // GROUPS
+LANES = 12  # lanes of a wide fingerprint, each of them probed
+SKETCH = 2  # lanes that go along to drop chance meetings
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -63,25 +72,16 @@ def text_fingerprint(text: str | None, words: int) -> int:
     return majority_bits(shingle_hashes(text, words))
 
 
-def _lanes(text: str | None, words: int, lanes: int) -> list[int]:
-    """The fingerprint, and more of its kind over rehashed shingles."""
-    hashes = shingle_hashes(text, words)
-    return [majority_bits(hashes if k == 0 else _mix(hashes, k)) for k in range(lanes)]
-
-
-def fingerprints(docs: DataFrame, words: int = 5, lanes: int = 1) -> DataFrame:
-    """``(doc_id, fp, more, node)``: the first 64 bits, the other lanes packed, and a number for them all."""
+def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """``(doc_id, fp)``."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.array([_lanes(t, words, lanes) for t in batch.column(1).to_pylist()], dtype="<u8").reshape(-1, lanes)
-            fp = np.ascontiguousarray(wide[:, 0])
-            node = fp if lanes == 1 else _mix(*wide.T)
-            more = [x.tobytes() for x in wide[:, 1:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), pa.array(more, pa.binary()), pa.array(node.view(np.int64))], names=["doc_id", "fp", "more", "node"])
+            fp = np.array([text_fingerprint(t, words) for t in batch.column(1).to_pylist()], dtype="<u8")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, more binary, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(fp: np.ndarray, which: list[int]) -> np.ndarray:
@@ -178,11 +178,23 @@ def _mix(*parts: np.ndarray | int) -> np.ndarray:
     return out
 
 
-_PROBE = "key long, used long, home boolean, fp long, more binary, node long"
+_PROBE = "key long, used long, home boolean, fp long, node long"
 
 
 def _probe_batch(key: np.ndarray, used: np.ndarray, home: np.ndarray, rest: list[pa.Array]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(used.view(np.int64)), pa.array(home), *rest], names=["key", "used", "home", "fp", "more", "node"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(used.view(np.int64)), pa.array(home), *rest], names=["key", "used", "home", "fp", "node"])
+
+
+def _probed(fp: np.ndarray, groups: list[list[int]], thresholds: list[int]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Group, value and whether that is the home side, for all values that the thresholds ask for."""
+    for g, (which, t) in enumerate(zip(groups, thresholds)):
+        if t < 0:
+            continue
+        value = _bits(fp, which)
+        near_side, far_side = _flips(t)
+        for k in range(far_side + 1):
+            for flip in combinations(range(len(which)), k):
+                yield g, value ^ sum(1 << b for b in flip), k <= near_side
 
 
 def probes(distinct: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
@@ -191,18 +203,11 @@ def probes(distinct: DataFrame, groups: list[list[int]], thresholds: list[int])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for g, (which, t) in enumerate(zip(groups, thresholds)):
-                if t < 0:
-                    continue
-                used = np.full(len(fp), sum(1 << b for b in which), dtype=np.uint64)
-                value = _bits(fp, which)
-                near_side, far_side = _flips(t)
-                for k in range(far_side + 1):
-                    for flip in combinations(range(len(which)), k):
-                        near = value ^ sum(1 << b for b in flip)
-                        yield _probe_batch(_mix(np.full(len(fp), g), near), used, np.full(len(fp), k <= near_side), batch.columns)
+            for g, value, home in _probed(fp, groups, thresholds):
+                used = np.full(len(fp), sum(1 << b for b in groups[g]), dtype=np.uint64)
+                yield _probe_batch(_mix(np.full(len(fp), g), value), used, np.full(len(fp), home), batch.columns)
 
-    return distinct.select("fp", "more", "node").mapInArrow(run, _PROBE)
+    return distinct.select("fp", "node").mapInArrow(run, _PROBE)
 
 
 def _dealt_again(rows: DataFrame, tau: int) -> DataFrame:
@@ -218,13 +223,13 @@ def _dealt_again(rows: DataFrame, tau: int) -> DataFrame:
             key, used, fp = key.view(np.uint64), used.view(np.uint64), fp.view(np.uint64)
             for mask in np.unique(used):
                 own = np.flatnonzero(used == mask)
-                rest = [batch.column(c).take(pa.array(own)) for c in ("fp", "more", "node")]
+                rest = [batch.column(c).take(pa.array(own)) for c in ("fp", "node")]
                 free = [b for b in range(64) if not int(mask) >> b & 1]
                 for j, which in enumerate(np.array_split(free, tau + 1)):
                     more = np.full(len(own), int(mask) | sum(1 << int(b) for b in which), dtype=np.uint64)
                     yield _probe_batch(_mix(key[own], np.full(len(more), j), _bits(fp[own], [int(b) for b in which])), more, home[own], rest)
 
-    return rows.select("key", "used", "home", "fp", "more", "node").mapInArrow(run, _PROBE)
+    return rows.select("key", "used", "home", "fp", "node").mapInArrow(run, _PROBE)
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -250,10 +255,11 @@ def _link_bucket(wide: np.ndarray, home: np.ndarray, limit: int) -> list[tuple[i
     return edges
 
 
-def links(rows: DataFrame, limit: int, lanes: int = 1) -> DataFrame:
+def links(rows: DataFrame, limit: int) -> DataFrame:
     """Verified links ``(a, b)`` between the nodes that share a key and differ in at most ``limit`` bits."""
 
-    def linked(key: np.ndarray, home: np.ndarray, wide: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def linked(key: np.ndarray, home: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = fp.view(np.uint64)[:, None]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
         a, b = [], []
@@ -277,55 +283,60 @@ def links(rows: DataFrame, limit: int, lanes: int = 1) -> DataFrame:
         return edge[0], edge[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            a, b = linked(*(np.concatenate(c) for c in zip(*parts)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, home, fp, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "home", "fp", "node"))
-            more = np.frombuffer(b"".join(batch.column("more").to_pylist()), dtype="<u8").reshape(len(key), lanes - 1)
-            wide = np.concatenate([fp.view(np.uint64)[:, None], more], axis=1)
-            cut = int(np.searchsorted(key, key[-1]))  # sorted: the last bucket may go on
-            if cut or (held and held[-1][0][-1] != key[-1]):
-                yield flush([*held, (key[:cut], home[:cut], wide[:cut], node[:cut])])
-                held = []
-            held.append((key[cut:], home[cut:], wide[cut:], node[cut:]))
-        if held:
-            yield flush(held)
-
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "home", "fp", "more", "node").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 3, lanes: int = 1, limit: int | None = None) -> DataFrame:
+        for columns in _whole_buckets(batches, ("key", "home", "fp", "node")):
+            a, b = linked(*columns)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").select("key", "home", "fp", "node").mapInArrow(run, "a long, b long")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of the rows, which come sorted by the first, cut so that no bucket is in two pieces."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cut = int(np.searchsorted(own[0], own[0][-1]))  # the last bucket may go on
+        if cut or (held and held[-1][0][-1] != own[0][-1]):
+            yield [np.concatenate(c) for c in zip(*held, [c[:cut] for c in own])]
+            held = []
+        held.append([c[cut:] for c in own])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, tau: int = 3) -> DataFrame:
     """``(doc_id, fp, component_id)`` per document; component_id is the smallest doc_id that links reach.
 
-    Links are fingerprints that differ in at most ``limit`` bits over all ``lanes`` of 64 bits, found
-    exactly among those within ``tau`` bits on the first lane; by default one lane and ``limit = tau``.
+    Links are fingerprints that differ in at most ``tau`` bits.  A fingerprint stands for its smallest doc_id
+    in all that follows, so the smallest id of a component is its answer and nothing is grouped by component.
     """
-    docs_fp = materialise(fingerprints(docs, words, lanes), "fingerprints")
-    distinct = materialise(docs_fp.groupBy("node").agg(F.first("fp").alias("fp"), F.first("more").alias("more"), F.min("doc_id").alias("first_id")), "distinct")
-    groups = bit_groups(distinct)
-    thresholds = allocate_thresholds(_histograms(distinct, groups), distinct.count(), tau)
-    limit, rows, edges = tau if limit is None else limit, probes(distinct, groups, thresholds), None
-    finer = True
-    while True:
+    docs_fp = materialise(fingerprints(docs, words), "fingerprints")
+    distinct = materialise(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
+    probing = distinct.filter("node is not null")
+    groups = bit_groups(probing)
+    thresholds = allocate_thresholds(_histograms(probing, groups), probing.count(), tau)
+    rows, edges, finer = probes(probing, groups, thresholds), None, True
+    while finer:
         rows = materialise(rows, "probes")
         large = rows.filter(F.bit_count("used") + tau + 1 <= 64).groupBy("key").count().filter(F.col("count") > BUCKET).select("key")
         finer = not large.isEmpty()
-        found = links(rows.join(large, "key", "left_anti") if finer else rows, limit, lanes)
+        found = links(rows.join(large, "key", "left_anti") if finer else rows, tau)
         edges = found if edges is None else edges.union(found)
-        if not finer:
-            break
-        rows = _dealt_again(rows.join(large, "key", "left_semi"), tau)
+        if finer:
+            rows = _dealt_again(rows.join(large, "key", "left_semi"), tau)
+    return _labelled(docs_fp, distinct, "fp", edges).select("doc_id", "fp", "component_id")
+
+
+def _labelled(docs: DataFrame, distinct: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """``docs`` with component_id, by the node that their ``key`` has in ``distinct``.
+
+    The join is between two written tables, so that adaptive execution splits a key that very many rows have.
+    """
     roots = connected_components(edges).withColumnRenamed("node", "of")
-    labelled = distinct.join(roots, F.col("node") == F.col("of"), "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.join(smallest, "root").select("node", "component_id")
-    return docs_fp.join(classes, "node").select("doc_id", "fp", "component_id")
+    classes = materialise(distinct.join(roots, F.col("node") == F.col("of"), "left").select(key, F.coalesce("root", "node").alias("component_id")), "classes")
+    return docs.join(classes, key)
 
 
 def _histograms(distinct: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
@@ -355,20 +366,146 @@ def differing_share(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
-    """Classes of documents whose shingle sets have about ``similarity`` or more, judged by ``lanes`` x 64 bits.
+_SKETCHED = "doc_id long, node long, fp long, lanes binary"
+
+
+def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """``(doc_id, node, fp, lanes)``: a number for the set of shingles, and SimHashes of that set in several lanes."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, wide = np.empty(batch.num_rows, dtype="<u8"), np.empty((batch.num_rows, lanes), dtype="<u8")
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                own = np.unique(shingle_hashes(t, words))
+                wide[k] = [majority_bits(own if lane == 0 else _mix(own, lane)) for lane in range(lanes)]
+                with np.errstate(over="ignore"):
+                    node[k] = _mix(_mix(own, lanes).sum(dtype=np.uint64), len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary())], names=[c.split()[0] for c in _SKETCHED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCHED)
 
-    The judgement allows half a standard deviation over the expected differing bits; candidates are
-    exact up to one bit over the expectation on the first lane, and all farther ones that meet anyway.
+
+_SKETCH_ROWS = f"key long, id long, home boolean, {', '.join(f's{k} long' for k in range(SKETCH))}"
+
+
+def _sketch_rows(distinct: DataFrame, groups: list[list[int]], thresholds: list[int], lanes: int) -> DataFrame:
+    """Every node under the values of its groups in each lane, with the lanes that tell chance meetings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, lanes)
+            along = [pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(SKETCH)]
+            for lane in range(lanes):
+                for g, value, home in _probed(np.ascontiguousarray(wide[:, lane]), groups, thresholds):
+                    key = _mix(np.full(len(wide), lane), np.full(len(wide), g), value)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0), pa.array(np.full(len(wide), home)), *along], names=[c.split()[0] for c in _SKETCH_ROWS.split(", ")])
+
+    return distinct.select("node_id", "lanes").mapInArrow(run, _SKETCH_ROWS)
+
+
+def _loose_groups(wide: np.ndarray, home: np.ndarray, limit: int) -> np.ndarray:
+    """Label of each member's group of those near each other, directly or by others; -1 for members without company."""
+    label = np.full(len(wide), -1)
+    for k, (a, b) in enumerate(_link_bucket(wide, home, limit)):
+        if label[a] < 0:
+            label[a] = k
+        label[b] = label[a]
+    return label
+
+
+def _met(rows: DataFrame, limit: int, most: int | None) -> DataFrame:
+    """Rows that have company in their bucket, under a key for their group; ``late`` ones are those of buckets over ``most``."""
+    names = tuple(c.split()[0] for c in _SKETCH_ROWS.split(", "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _whole_buckets(batches, names):
+            key, home = columns[0], columns[2]
+            wide = np.stack([c.view(np.uint64) for c in columns[3:]], axis=1)
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            group, late = np.full(len(key), -1), np.zeros(len(key), dtype=bool)
+            pair = start[size == 2]
+            near = pair[(_apart(wide[pair], wide[pair + 1]) <= limit) & (home[pair] | home[pair + 1])]
+            group[near] = group[near + 1] = 0
+            for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+                if most is not None and n > most:
+                    late[s : s + n] = True
+                elif n > 128 or np.count_nonzero(_apart(wide[s : s + n, None], wide[None, s : s + n]) <= limit) > n:
+                    group[s : s + n] = _loose_groups(wide[s : s + n], home[s : s + n], limit)
+            out = np.flatnonzero(late | (group >= 0))
+            under = np.where(late[out], key[out], _mix(key[out], group[out] + 1).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(under), *(pa.array(c[out]) for c in columns[1:]), pa.array(late[out])], names=[*names, "late"])
+
+    return rows.repartition("key").sortWithinPartitions("key").select(*names).mapInArrow(run, f"{_SKETCH_ROWS}, late boolean")
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows of oversized buckets, dealt into blocks of about BUCKET / 2 by id; every two blocks of a bucket meet under a key."""
+    sizes = rows.groupBy("key").agg(F.ceil(2 * F.count("*") / BUCKET).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    other = rows.join(sizes, "key").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), *(c for c in rows.columns if c != "key"))
+
+
+def jaccard(first: np.ndarray, second: np.ndarray) -> float:
+    """Similarity of two sets of hashes, each sorted; that of two empty sets is 1."""
+    both = len(np.intersect1d(first, second, assume_unique=True))
+    return both / (len(first) + len(second) - both) if len(first) or len(second) else 1.0
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = ([np.frombuffer(x, dtype="<u8") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            good = [jaccard(x, y) >= similarity for x, y in zip(p, q)]
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
+    """``(doc_id, component_id)``: classes of documents whose sets of shingles have this Jaccard similarity or more.
+
+    A pair is a candidate if it differs in at most three bits on groups of any lane, as ``probes`` has it,
+    and over the sketch in no more than three standard deviations above what the similarity lets expect.
+    Every candidate's shingle sets are compared, so no pair below ``similarity`` is linked; a pair at 0.8 is
+    missed with chance 0.03 by the binomial model of twelve lanes (measured by a test), one at 0.9 practically never.
     """
     share = differing_share(similarity)
-    bits = 64 * lanes
-    limit = int(bits * share + 0.5 * sqrt(bits * share * (1 - share)))
-    return near_duplicates(docs, words, ceil(64 * share) + 1, lanes, limit)
+    bits = 64 * SKETCH
+    limit = ceil(bits * share + 3 * sqrt(bits * share * (1 - share)))
+    own = materialise(sketches(docs, words, lanes), "sketches")
+    distinct = materialise(own.groupBy("node").agg(F.min("doc_id").alias("node_id"), F.first("fp").alias("fp"), F.first("lanes").alias("lanes")), "distinct").filter("node_id is not null")
+    groups = bit_groups(distinct)
+    thresholds = allocate_thresholds(_histograms(distinct, groups), distinct.count(), GROUPS - 1)
+    met = materialise(_met(_sketch_rows(distinct, groups, thresholds, lanes), limit, BUCKET), "met")
+    if not met.filter("late").isEmpty():
+        blocks = _met(_in_blocks(met.filter("late").drop("late")), limit, None)
+        met = materialise(met.filter("not late").union(blocks), "met")
+    needed = met.select("id").distinct().withColumnRenamed("id", "needed_id")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sets = materialise(texts.join(needed, texts.id == needed.needed_id, "left_semi").mapInArrow(shingled, "id long, shingles binary"), "sets")
+    near = sum((F.bit_count(F.col(f"one.s{k}").bitwiseXOR(F.col(f"two.s{k}"))) for k in range(SKETCH)), F.lit(0)) <= limit
+    met = met.select("key", "id", *(f"s{k}" for k in range(SKETCH))).distinct()
+    edges = class_links(met, lambda pairs: _similar_pairs(pairs, sets, similarity), near)
+    labelled = _labelled(own.select("doc_id", F.col("node").alias("set")), distinct.select(F.col("node").alias("set"), F.col("node_id").alias("node")), "set", edges)
+    discard(met, sets)
+    return labelled.select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the documents whose near-duplicate class has a smaller doc_id; rows without an id stay."""
     classes = similar_classes(docs.filter("doc_id is not null"), words, similarity)
-    dropped = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("copy_id"), "left_anti").select(docs.columns)
+    name = f"copy_{uuid4().hex}"  # no column of docs
+    dropped = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti").select(docs.columns)

@@ -24,6 +24,7 @@ shorter than ``min_bytes`` are kept whole; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -422,17 +423,18 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     """
     spark = docs.sparkSession
     runs = removed_runs(docs.filter("doc_id is not null").select("doc_id", "text"), min_bytes).filter(F.octet_length("removed") > 0)
-    cuts = runs.groupBy("doc_id").agg(F.first("removed").alias("cuts")).withColumnRenamed("doc_id", "cut_id")
+    cut, cut_id = f"cut_{uuid4().hex}", f"cut_id_{uuid4().hex}"  # no columns of docs
+    cuts = runs.groupBy("doc_id").agg(F.first("removed").alias(cut)).withColumnRenamed("doc_id", cut_id)
 
     @F.pandas_udf("string")
     def shortened(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or c is None else _without(t, c) for t, c in zip(text, cuts)], dtype=object)
 
     small_batches(spark)
-    out = docs.join(cuts, F.col("doc_id") == F.col("cut_id"), "left")
-    out = out.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(shortened("text", "cuts")))
+    out = docs.join(cuts, F.col("doc_id") == F.col(cut_id), "left")
+    out = out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(shortened("text", cut)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 

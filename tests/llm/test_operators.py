@@ -131,7 +131,7 @@ def test_hamming_links_are_complete(spark, monkeypatch, bucket):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     prints = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 4), replace=False)) for b in base for _ in range(25)})
-    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, words, lanes: docs.selectExpr("id as doc_id", "fp", "cast('' as binary) as more", "fp as node"))
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs, words: docs.selectExpr("id as doc_id", "fp"))
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(prints)), "id long, fp long")).collect()}
     root = list(range(len(prints)))
     for i in range(len(prints)):
@@ -149,6 +149,52 @@ def test_near_copies_go_and_others_stay(spark, odd, none):
     assert simhash_dedup.one_of_each(none).count() == 0 and simhash_dedup.near_duplicates(none).count() == 0
 
 
+def shingles(text, n=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("bucket", [4096, 16])
+def test_similar_classes_equal_brute_force(spark, monkeypatch, bucket):
+    # pairs on both sides of 0.8, a large group of near copies, and texts alone
+    monkeypatch.setattr(simhash_dedup, "BUCKET", bucket)
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(1, 9), replace=False):
+            copy[at] = "x"
+        texts += [" ".join(base), " ".join(copy)]
+    base = [f"g{x}" for x in rng.integers(0, 5000, 200)]
+    for k in range(60):
+        copy = list(base)
+        copy[k] = copy[k + 100] = f"edit{k}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert sum(i < 300 for i, _ in want) > 60 and sum((2 * k, 2 * k + 1) not in want for k in range(150)) > 20
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_classes(frame).collect()}
+    linked = [(i, j) for i, j in want if got[i] == got[j]]
+    assert len(linked) >= 0.95 * len(want) and {got[k] for k in range(300, 360)} == {300}
+    assert all((2 * k, 2 * k + 1) in want or got[2 * k + 1] == 2 * k + 1 for k in range(150))
+
+
+def test_extra_columns_with_clashing_names_survive(spark):
+    names = ["copy_id", "cut_id", "cuts", "node", "fp", "key", "id", "component_id", "bytes", "oid", "content"]
+    text = " ".join(f"word{k}" for k in range(60))
+    frame = spark.createDataFrame([(1, text, *"abcdefghijk"), (2, text, *"abcdefghijk"), (3, "alone", *"abcdefghijk")], f"doc_id long, text string, {', '.join(n + ' string' for n in names)}")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert sorted(r["doc_id"] for r in simhash_dedup.one_of_each(frame).collect()) == [1, 3]
+    short = suffix_array_dedup.without_repeats(frame)
+    assert short.columns == frame.columns and {r["doc_id"]: (r["text"], r["cuts"]) for r in short.collect()}[2] == ("", "c")
+    assert quality_crf.without_bad(frame, labels).columns == frame.columns
+    assert {r["doc_id"] for r in best_fit_packing.pack(frame, BPE, 64).collect()} == {1, 2, 3}
+    assert suffix_array_dedup.removed_runs(frame).count() == sentencepiece_codec.encode_decode(frame, PIECES).count() == open_lm_scores.score_documents(frame).count() == 3
+    assert license_scan.scan(frame, license_scan.train(frame)).count() == 0
+
+
 def test_op3_finds_edited_views(spark):
     vectors = spark.read.parquet(f"{SF}/embeddings.parquet").limit(96)
     rows = {r["image_id"]: r for r in image_copies.copy_classes(media_scenes.pictures(vectors)).collect()}
@@ -401,6 +447,30 @@ def test_hilbert_index_walks_to_adjacent_cells():
     assert sorted(key) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
+@pytest.mark.parametrize(("spread", "most"), [(None, 1.0), (0.05, 0.1)])
+def test_op10_visits_fewer_rows_than_brute_force(spread, most):
+    # without structure a little less than all rows, in clusters few
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 64))
+    if spread:
+        x = rng.normal(size=(400, 64))[rng.integers(0, 400, len(x))] + spread * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sample, queries = x[:5000], x[::200]
+    d = np.argsort(-(queries @ x.T), axis=1, kind="stable")[:, 1:11]
+    curves = hilbert_neighbours.Curves(sample, hilbert_neighbours.CURVES, hilbert_neighbours.DIMENSIONS, hilbert_neighbours.BITS)
+    gaps = hilbert_neighbours.rank_gaps(curves, sample, np.repeat(queries, 10, axis=0), x[d.reshape(-1)])
+    chosen, window = hilbert_neighbours.cheapest(gaps, hilbert_neighbours.COVERAGE)
+    met = visits = 0
+    keys = [curves.keys(x, c) for c in range(chosen)]
+    for c in range(chosen):
+        place = np.empty(len(x), dtype=int)
+        place[np.argsort(keys[c], kind="stable")] = np.arange(len(x))
+        at = place[::200]
+        visits += sum(min(len(x), p + window * len(x)) - max(0, p - window * len(x)) for p in at)
+        met = met | (np.abs(place[d] - at[:, None]) <= window * len(x))
+    assert visits <= most * len(queries) * len(x) and met.mean() >= 0.9
+
+
 def test_op10_recall_and_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(hilbert_neighbours, "BLOCK", 64)
     rng = np.random.default_rng(2)
