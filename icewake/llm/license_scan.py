@@ -32,6 +32,8 @@ UNKNOWN = "unknown"
 CONFIDENCE = 0.5
 CONFIRMED = 0.5
 SAMPLE_DOCS = 1500
+SAMPLE_LINES = 20  # of each
+SAMPLE_CHARS = 600  # of each line
 VARIANTS = 60
 
 # fixed values: wording that public licence notices use
@@ -240,9 +242,11 @@ def fit(noise: list[list[bytes]], seed: int = 11) -> LicenseModel:
 
 def train(docs: DataFrame) -> LicenseModel:
     """Fit with ordinary paragraphs of a bounded sample of documents."""
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-    lines = sample.select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 20)).alias("line", "text")).select("doc_id", "line", F.substring("text", 1, 600).alias("text"))
-    rows = sorted(lines.collect())  # at most 20 lines of SAMPLE_DOCS documents, for training only
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
+    # ids first, so that no text is sorted; a bounded table
+    chosen = F.broadcast(own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct())
+    lines = own.join(chosen, "doc_id").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES)).alias("line", "text")).select("doc_id", "line", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    rows = sorted(lines.collect())  # for training only
     return fit([w for r in rows for w in paragraphs(r["text"]) if len(w) >= 3])
 
 

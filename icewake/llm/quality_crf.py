@@ -227,10 +227,8 @@ def train(docs: DataFrame, labels: DataFrame) -> LineModel:
                 continue
             x, lines_of, size = line_features([(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()])
             at = np.cumsum(lines_of)[:-1]
-            use = lines_of <= SAMPLE_LINES
-            packed = [[p.tobytes() for p, u in zip(np.split(a.astype("<f4"), at), use) if u] for a in (x, size)]
-            keep = pa.array(use)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep).cast(pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["doc_id", "label", "x", "size"])
+            packed = [[p[:SAMPLE_LINES].tobytes() for p in np.split(a.astype("<f4"), at)] for a in (x, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), *(pa.array(p, pa.binary()) for p in packed)], names=["doc_id", "label", "x", "size"])
 
     rows = sorted(texts.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id long, label int, x binary, size binary").collect(), key=lambda r: r["doc_id"])
     label = np.array([r["label"] for r in rows], dtype=np.float64)

@@ -15,7 +15,6 @@ from . import (
     license_scan,
     lm_scores,
     media_scenes,
-    open_lm_scores,
     quality_crf,
     sentencepiece_codec,
     simhash_dedup,
@@ -87,17 +86,11 @@ def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document under the counts of all documents."""
+    """Score of every document under the counts of all words and pairs of all documents."""
     scores = lm_scores.score_documents(table(spark, sf_dir, "documents"))
     return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
 
 
-def op8_open_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram score of every document under the counts of all words and pairs of all documents."""
-    scores = open_lm_scores.score_documents(table(spark, sf_dir, "documents"))
-    return scores.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
-
-
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence paragraphs of all documents with family, probability and template similarity."""
     docs = table(spark, sf_dir, "documents")
@@ -118,9 +111,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_chat_rotation": op7_chat_rotation,
     "op8_lm_scores": op8_lm_scores,
-    "op8_open_lm_scores": op8_open_lm_scores,
     "op9_license_scan": op9_license_scan,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_rotation": chat_rotation.ORACLE, "op8_lm_scores": lm_scores.ORACLE, "op8_open_lm_scores": open_lm_scores.ORACLE}
+ORACLES: dict[str, str] = {"op7_chat_rotation": chat_rotation.ORACLE, "op8_lm_scores": lm_scores.ORACLE}
