@@ -41,6 +41,7 @@ GROUPS = 4
 WIDTH = 64 // GROUPS
 LANES = 12  # lanes of a wide fingerprint, each of them probed
 SKETCH = 2  # lanes that go along to drop chance meetings
+SURE = 2.33  # standard deviations over all lanes: one pair of a hundred at the similarity itself is outside
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -366,7 +367,7 @@ def differing_share(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-_SKETCHED = "doc_id long, node long, fp long, lanes binary"
+_SKETCHED = "doc_id long, node long, fp long, lanes array<long>"
 
 
 def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
@@ -381,7 +382,7 @@ def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
                 wide[k] = [majority_bits(own if lane == 0 else _mix(own, lane)) for lane in range(lanes)]
                 with np.errstate(over="ignore"):
                     node[k] = _mix(_mix(own, lanes).sum(dtype=np.uint64), len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), pa.array([x.tobytes() for x in wide], pa.binary())], names=[c.split()[0] for c in _SKETCHED.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], names=[c.split()[0] for c in _SKETCHED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCHED)
 
@@ -394,7 +395,7 @@ def _sketch_rows(distinct: DataFrame, groups: list[list[int]], thresholds: list[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u8").reshape(-1, lanes)
+            wide = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, lanes)
             along = [pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in range(SKETCH)]
             for lane in range(lanes):
                 for g, value, home in _probed(np.ascontiguousarray(wide[:, lane]), groups, thresholds):
@@ -467,17 +468,21 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
 
 
+def _bound(share: float, bits: int, spreads: float) -> int:
+    """Differing bits that a pair with this expected share keeps within, but for so many standard deviations."""
+    return ceil(bits * share + spreads * sqrt(bits * share * (1 - share)))
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = LANES) -> DataFrame:
     """``(doc_id, component_id)``: classes of documents whose sets of shingles have this Jaccard similarity or more.
 
-    A pair is a candidate if it differs in at most three bits on groups of any lane, as ``probes`` has it,
-    and over the sketch in no more than three standard deviations above what the similarity lets expect.
-    Every candidate's shingle sets are compared, so no pair below ``similarity`` is linked; a pair at 0.8 is
-    missed with chance 0.03 by the binomial model of twelve lanes (measured by a test), one at 0.9 practically never.
+    A pair is a candidate if it differs in at most three bits on groups of any lane, as ``probes`` has it, and
+    in no more bits, over the sketch and over all lanes, than the similarity lets expect within a few standard
+    deviations.  Every candidate's shingle sets are compared, so no pair below ``similarity`` is linked; a pair at 0.8
+    is missed with chance 0.04 by the binomial model of twelve lanes (measured by a test), one at 0.9 practically never.
     """
     share = differing_share(similarity)
-    bits = 64 * SKETCH
-    limit = ceil(bits * share + 3 * sqrt(bits * share * (1 - share)))
+    limit = _bound(share, 64 * SKETCH, 3.0)
     own = materialise(sketches(docs, words, lanes), "sketches")
     distinct = materialise(own.groupBy("node").agg(F.min("doc_id").alias("node_id"), F.first("fp").alias("fp"), F.first("lanes").alias("lanes")), "distinct").filter("node_id is not null")
     groups = bit_groups(distinct)
@@ -495,8 +500,9 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, la
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = materialise(texts.join(needed, texts.id == needed.needed_id, "left_semi").mapInArrow(shingled, "id long, shingles binary"), "sets")
-    near = sum((F.bit_count(F.col(f"one.s{k}").bitwiseXOR(F.col(f"two.s{k}"))) for k in range(SKETCH)), F.lit(0)) <= limit
-    met = met.select("key", "id", *(f"s{k}" for k in range(SKETCH))).distinct()
+    # all lanes are wanted for the rows that met only
+    met = materialise(met.select("key", "id").distinct().join(distinct.select(F.col("node_id").alias("id"), "lanes"), "id").select("key", "id", "lanes"), "groups")
+    near = sum((F.bit_count(F.col("one.lanes")[k].bitwiseXOR(F.col("two.lanes")[k])) for k in range(lanes)), F.lit(0)) <= _bound(share, 64 * lanes, SURE)
     edges = class_links(met, lambda pairs: _similar_pairs(pairs, sets, similarity), near)
     labelled = _labelled(own.select("doc_id", F.col("node").alias("set")), distinct.select(F.col("node").alias("set"), F.col("node_id").alias("node")), "set", edges)
     discard(met, sets)
