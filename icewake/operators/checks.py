@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
 from .density import with_grid_values
 
 # fixed values: warnings of the monthly check
@@ -72,14 +73,14 @@ def otsu(cells: DataFrame, column: str, bins: int = 256, most_gaps: float = 0.3)
 
 def mostly_missing(cells: DataFrame, column: str, least: float = 0.001) -> DataFrame:
     """A layer with next to no values counts as missing altogether."""
-    x = F.when(~F.isnan(column), F.col(column))
+    x = finite(column)
     share = with_grid_values(cells, _share=F.avg(x.isNotNull().cast("int")))
     return share.withColumn(column, F.when(F.col("_share") >= least, x)).drop("_share")
 
 
 def rescaled_if_large(cells: DataFrame, column: str) -> DataFrame:
     """Divided by the maximum where that is over one."""
-    top = with_grid_values(cells, _top=F.max(column))
+    top = with_grid_values(cells, _top=F.max(finite(column)))
     return top.withColumn(column, F.when(F.col("_top") > 1, F.col(column) / F.col("_top")).otherwise(F.col(column))).drop("_top")
 
 

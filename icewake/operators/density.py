@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import clip, nearest_index
+from ..functions.numbers import finite
 from .grid import GridAxes
 
 
@@ -38,30 +39,32 @@ def with_grid_values(cells: DataFrame, **values: Column) -> DataFrame:
 
 def normalised(cells: DataFrame, column: str, out: str) -> DataFrame:
     """No data and negatives to 0, divided by the maximum if that is positive."""
-    x = F.coalesce(F.when(~F.isnan(column), F.col(column)), F.lit(0)).cast("double")
+    x = F.coalesce(finite(column), F.lit(0.0))
     top = with_grid_values(cells, _top=F.max(x))
     return top.withColumn(out, clip(F.when(F.col("_top") > 0, x / F.col("_top")).otherwise(x), 0.0, 1.0)).drop("_top")
 
 
 def min_max(cells: DataFrame, column: str, out: str) -> DataFrame:
-    """(x - min) / (max - min), 0 where all are alike."""
-    x = F.col(column)
+    """(x - min) / (max - min) of finite values, 0 where all are alike; others stay NULL or NaN."""
+    x = finite(column)
     both = with_grid_values(cells, _low=F.min(x), _high=F.max(x))
     span = F.col("_high") - F.col("_low")
-    return both.withColumn(out, F.when(x.isNull(), None).when(span > 1e-12, (x - F.col("_low")) / span).otherwise(0.0)).drop("_low", "_high")
+    return both.withColumn(out, F.when(x.isNull(), F.when(F.col(column).isNotNull(), float("nan"))).when(span > 1e-12, (x - F.col("_low")) / span).otherwise(0.0)).drop("_low", "_high")
 
 
 def from_percent(cells: DataFrame, column: str, out: str, above: float = 1.5) -> DataFrame:
     """Divided by 100 if the maximum says these are percents, then within 0..1."""
-    top = with_grid_values(cells, _top=F.max(column))
-    return top.withColumn(out, clip(F.when(F.col("_top") > above, F.col(column) / 100.0).otherwise(F.col(column)), 0.0, 1.0)).drop("_top")
+    x = finite(column)
+    top = with_grid_values(cells, _top=F.max(x))
+    return top.withColumn(out, clip(F.when(F.col("_top") > above, x / 100.0).otherwise(x), 0.0, 1.0)).drop("_top")
 
 
 def quantile_scaled(cells: DataFrame, column: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(x - q_low) / (q_high - q_low) within 0..1; a flat field is measured from q_low on."""
-    q = with_grid_values(cells, _low=F.percentile(column, low), _high=F.percentile(column, high))
+    x = finite(column)
+    q = with_grid_values(cells, _low=F.percentile(x, low), _high=F.percentile(x, high))
     top = F.when(F.col("_high") > F.col("_low"), F.col("_high")).otherwise(F.col("_low") + 1)
-    return q.withColumn(out, clip((F.col(column) - F.col("_low")) / (top - F.col("_low")), 0.0, 1.0)).drop("_low", "_high")
+    return q.withColumn(out, clip((x - F.col("_low")) / (top - F.col("_low")), 0.0, 1.0)).drop("_low", "_high")
 
 
 def log_congestion(cells: DataFrame, column: str, out: str) -> DataFrame:
@@ -74,7 +77,7 @@ def log_congestion(cells: DataFrame, column: str, out: str) -> DataFrame:
 def statistics(cells: DataFrame, column: str) -> DataFrame:
     """Count, finite share, extremes, mean and five quantiles of a layer."""
     q = [0.01, 0.05, 0.5, 0.95, 0.99]
-    x = F.col(column)
+    x = finite(column)
     return cells.agg(
         F.count("*").alias("n"),
         F.avg(x.isNotNull().cast("int")).alias("finite_ratio"),
@@ -94,3 +97,14 @@ def traffic_labels(cells: DataFrame, column: str, threshold: float) -> DataFrame
     """1 where ships pass, 0 where none do, on ocean; other cells go."""
     label = F.when(F.col(column) > threshold, 1).when(F.col(column) == 0, 0)
     return cells.filter("not is_land").withColumn("label", label).filter("label is not null")
+
+
+def build_result(points: DataFrame) -> DataFrame:
+    """Points, those that fall into a cell, and their share (A02): every point with a position does."""
+    binned = F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return points.agg(F.count("*").alias("num_points"), binned.alias("num_binned"), F.when(F.count("*") > 0, binned / F.count("*")).otherwise(0.0).alias("frac_binned"))
+
+
+def dataset(counts: DataFrame, cells: DataFrame, title: str) -> DataFrame:
+    """A density raster with its axes and attributes: i, j, lat, lon, count, density, title."""
+    return normalised(on_grid(counts, cells), "n", "density").select("i", "j", "lat", "lon", "n", "density", F.lit(title).alias("title"))

@@ -34,9 +34,9 @@ def vessel_profiles(spark: SparkSession, margin: float = 1.0) -> DataFrame:
 
 def with_dimension(rows: DataFrame, dimension: DataFrame, key: str, default: str) -> DataFrame:
     """Look-up by key; a key that is unknown or NULL takes the row of ``default`` (R15).  The dimension is a small fixed table."""
-    known = F.broadcast(dimension.select(F.col(key).alias("_known")))
+    known = dimension.select(F.col(key).alias("_known"))
     found = rows.join(known, F.col(key) == F.col("_known"), "left").withColumn("_key", F.coalesce("_known", F.lit(default))).drop("_known", key)
-    return found.join(F.broadcast(dimension.withColumnRenamed(key, "_key")), "_key", "left").withColumnRenamed("_key", key)
+    return found.join(dimension.withColumnRenamed(key, "_key"), "_key", "left").withColumnRenamed("_key", key)
 
 
 def every_pair(left: DataFrame, right: DataFrame, most: int = 10_000) -> DataFrame:

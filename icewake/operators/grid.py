@@ -69,16 +69,17 @@ def stride(cells: DataFrame, every: int) -> DataFrame:
 def nearest_ocean(points: DataFrame, cells: DataFrame, axes: GridAxes, radius: int = 10) -> DataFrame:
     """Each point's nearest ocean cell within ``radius`` cells of its own cell; the first in row order wins.
 
-    The cells around a point are generated and looked up by index, an equi-join, so the work is
-    (2 radius + 1)^2 rows a point whatever the size of the grid.
+    Ocean cells around each cell that has points are gathered once into an array, (2 radius + 1)^2 at most, and
+    a point looks through the array of its own cell: only points and cells are shuffled, not points times cells.
     """
-    own = points.withColumns({"i0": nearest_index(F.col("lat"), axes.lat0, axes.dlat, axes.ny), "j0": nearest_index(F.col("lon"), axes.lon0, axes.dlon, axes.nx)})
+    own = points.filter("lat is not null and lon is not null").withColumns({"i0": nearest_index(F.col("lat"), axes.lat0, axes.dlat, axes.ny), "j0": nearest_index(F.col("lon"), axes.lon0, axes.dlon, axes.nx)})
     span = F.sequence(F.lit(-radius), F.lit(radius))
-    around = own.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span)).withColumns({"i": F.col("i0") + F.col("di"), "j": F.col("j0") + F.col("dj")})
+    used = own.select("i0", "j0").distinct()
+    around = used.withColumn("di", F.explode(span)).withColumn("dj", F.explode(span)).withColumns({"i": F.col("i0") + F.col("di"), "j": F.col("j0") + F.col("dj")})
     ocean = cells.filter("not is_land").select("i", "j", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    met = around.join(ocean, ["i", "j"])
-    d2 = F.pow(F.col("clat") - F.col("lat"), 2) + F.pow(F.col("clon") - F.col("lon"), 2)
-    best = met.groupBy("point_id").agg(F.min_by(F.struct("i", "j"), F.struct(d2, "i", "j")).alias("cell"))
+    gathered = around.join(ocean, ["i", "j"]).groupBy("i0", "j0").agg(F.collect_list(F.struct("clat", "clon", "i", "j")).alias("near"))
+    d2 = lambda c: F.pow(c["clat"] - F.col("lat"), 2) + F.pow(c["clon"] - F.col("lon"), 2)
+    best = own.join(gathered, ["i0", "j0"]).select("point_id", F.array_min(F.transform("near", lambda c: F.struct(d2(c).alias("d"), c["i"].alias("i"), c["j"].alias("j")))).alias("cell"))
     return best.select("point_id", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
 
 

@@ -58,5 +58,5 @@ def clean_plan(files: DataFrame, priority: Column, keep_months: int, limit: int
     groups = groups.select("priority", "_month", F.coalesce(F.sum("_bytes").over(w), F.lit(0)).alias("_before"))  # one row a month and type
     inside = Window.partitionBy("priority", "_month").orderBy(F.desc("size"), "path").rowsBetween(Window.unboundedPreceding, -1)
     total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(groups), ["priority", "_month"]).crossJoin(F.broadcast(total))
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(groups, ["priority", "_month"]).crossJoin(F.broadcast(total))
     return placed.filter(F.col("_total") - F.col("_before") - F.col("_inside") > limit).drop("_month", "_inside", "_before", "_total")

@@ -31,7 +31,7 @@ def compare(results: DataFrame) -> DataFrame:
 
 
 def summary(compared: DataFrame, small_detour: float = 5.0) -> DataFrame:
-    """Per mode: mean reduction over valid rows, mean detour over all, counts (A16), and a verdict."""
+    """Per mode: mean reduction over valid rows, mean detour over all, counts (A16), and a word for the reduction."""
     better = F.col("risk_reduction_pct") > 0
     out = compared.groupBy("mode").agg(
         F.count("*").alias("scenarios"),
@@ -69,3 +69,30 @@ def pareto_front(results: DataFrame) -> DataFrame:
     bound = levels.select("scenario_id", "distance_km", F.min("_level").over(before).alias("_before"))
     kept = rows.join(bound, ["scenario_id", "distance_km"]).filter((F.col("risk") == F.col("_at")) & (F.col("_before").isNull() | (F.col("risk") < F.col("_before"))))
     return kept.select(results.columns)
+
+
+def conclusions(summed: DataFrame) -> DataFrame:
+    """What ``summary`` lets one say of each mode (A17): the safe mode is a good trade if it cuts risk by more
+    than half for a detour below 5 percent; the robust one stands out if it cuts risk by more than 75 percent."""
+    cut, detour = F.col("mean_reduction"), F.col("mean_detour")
+    safe = F.when((cut > 50) & (detour < 5), "good_trade").otherwise("limited")
+    robust = F.when(cut > 75, "strong_protection").otherwise("moderate_protection")
+    return summed.withColumn("conclusion", F.when(F.col("mode") == "safe", safe).when(F.col("mode") == "robust", robust))
+
+
+def headline_deltas(results: DataFrame) -> DataFrame:
+    """Shortest and least risky mode of each scenario, and how they stand to the baseline."""
+    rows = first_results(results).select("scenario_id", "mode", "distance_km", "total_cost", "risk")
+    best = rows.groupBy("scenario_id").agg(
+        F.min_by(F.struct("mode", "distance_km"), F.struct("distance_km", "mode")).alias("short"),
+        F.min_by(F.struct("mode", "risk"), F.struct("risk", "mode")).alias("safe"),
+        F.max(F.when(F.col("mode") == BASELINE, F.struct("distance_km", "risk"))).alias("base"),
+    )
+    risk = F.when(F.col("base.risk") > 0, 100.0 * (F.col("safe.risk") - F.col("base.risk")) / F.col("base.risk"))
+    return best.select(
+        "scenario_id",
+        F.col("short.mode").alias("shortest"),
+        (F.col("short.distance_km") - F.col("base.distance_km")).alias("delta_km"),
+        F.col("safe.mode").alias("least_risk"),
+        risk.alias("risk_change_pct"),
+    )

@@ -45,7 +45,8 @@ def interpolated(knots: DataFrame, targets: DataFrame, values: list[str]) -> Dat
     both = both.unionByName(targets.select("route_id", "s", F.col("id").cast("long"), F.lit(None).alias("knot")), allowMissingColumns=True)
     w = Window.partitionBy("route_id").orderBy("s")
     before = F.last("knot", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("knot", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # from the far end, so that the frame only grows
+    after = F.last("knot", ignorenulls=True).over(Window.partitionBy("route_id").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
     rows = both.withColumns({"a": before, "b": after}).filter("id is not null")
     share = (F.col("s") - F.col("a.s")) / (F.col("b.s") - F.col("a.s"))
     at = lambda v: F.when(F.col("a").isNull(), F.col(f"b.{v}")).when(F.col("b").isNull() | (F.col("b.s") == F.col("a.s")), F.col(f"a.{v}")).otherwise(F.col(f"a.{v}") + share * (F.col(f"b.{v}") - F.col(f"a.{v}")))

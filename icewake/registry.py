@@ -464,7 +464,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     for weight in (0.0, 4.0, 8.0):
         f = cost.demo_cost(cells, weights=cost.TrafficWeights(corridor=weight)).select(F.lit(f"corridor {weight:g}").alias("run_id"), "i", "j", "cost")
         fields = f if fields is None else fields.union(f)
-    steps = demo_route(spark, fields)
+    steps = demo_route(spark, fields).persist()  # used three times; a few hundred rows
     totals = steps.groupBy("run_id").agg(F.round(F.sum("step_cost"), 6).alias("total_cost"), F.max("reason").alias("reason"))
     length = routes.lengths(steps.withColumnRenamed("run_id", "route_id")).select(F.col("route_id").alias("run_id"), _r("length_km", "length_km"), "points")
     return totals.join(length, "run_id").join(search.path_changes(steps, "corridor 0"), "run_id")
@@ -476,7 +476,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import registry_evaluation  # noqa: F401  registers its queries here
+    from . import registry_evaluation, registry_training  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 

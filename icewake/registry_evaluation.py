@@ -332,11 +332,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return alignment.loaded_density(_demo_values(spark), grid.DEMO, t.cells(spark, d).select("i", "j", "lat", "lon"))
 
 
-_HIT = f"{t.POINTS}, hit AS (SELECT DISTINCT greatest(0, least(39, ceil((lat - 65e0) / (15e0 / 39) - 5e-1)))::BIGINT AS i, greatest(0, least(79, ceil((lon - 0e0) / (160e0 / 79) - 5e-1)))::BIGINT AS j FROM points WHERE point_id % 7 = 0 AND lon < 140)"
+_HIT = f"{t.POINTS}, hit AS (SELECT DISTINCT greatest(0, least(39, ceil((lat - 65e0) / (15e0 / 39) - 5e-1)))::BIGINT AS i, greatest(0, least(79, ceil((lon - 0e0) / (160e0 / 79) - 5e-1)))::BIGINT AS j FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL)"
 
 
 def _hit(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.visited_cells(t.points(spark, d).filter("point_id % 7 = 0 and lon < 140"), grid.DEMO, grid.demo_grid(spark))
+    return alignment.visited_cells(t.points(spark, d), grid.DEMO, grid.demo_grid(spark))
 
 
 @_query("r10_visited_cells", f"WITH {_HIT} SELECT i, j FROM hit WHERE j < 70")
@@ -363,23 +363,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return alignment.nearest_ocean_anywhere(t.points(spark, d), grid.demo_grid(spark), 4.0)
 
 
-_ALL_HIT = f"{t.POINTS}, hit AS (SELECT DISTINCT greatest(0, least(39, ceil((lat - 65e0) / (15e0 / 39) - 5e-1)))::BIGINT AS i, greatest(0, least(79, ceil((lon - 0e0) / (160e0 / 79) - 5e-1)))::BIGINT AS j FROM points WHERE lat IS NOT NULL AND lon IS NOT NULL)"
-
-
-def _all_hit(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.visited_cells(t.points(spark, d), grid.DEMO, grid.demo_grid(spark))
-
-
-@_query("r10_all_visited_cells", f"WITH {_ALL_HIT} SELECT i, j FROM hit WHERE j < 70")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return _all_hit(spark, d)
-
-
-@_query("r16_all_unvisited_cells", f"WITH {_ALL_HIT} SELECT id // 80 AS i, id % 80 AS j FROM (SELECT unnest(range(3200)) AS id) WHERE id % 80 < 70 EXCEPT SELECT i, j FROM hit")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.unvisited_cells(_all_hit(spark, d), grid.demo_grid(spark))
-
-
 @_query(
     "a25_month_check",
     f"WITH {t.CELLS} SELECT i % 12 AS month, round(1e2 * avg((sic IS NULL)::INT), 6) AS sic_nan_pct, max(sic) AS sic_max, round(avg(sic), 6) AS sic_mean, round(avg(wave), 6) AS cost_mean, 1e2 * avg((sic IS NULL)::INT) > 30 AS warn_gaps, max(sic) > 12e-1 AS warn_sic, max(wave) < 3e-1 AS warn_cost FROM cells GROUP BY ALL",
