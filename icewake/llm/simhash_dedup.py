@@ -416,7 +416,10 @@ def _loose_groups(wide: np.ndarray, home: np.ndarray, limit: int) -> np.ndarray:
 
 
 def _met(rows: DataFrame, limit: int, most: int | None) -> DataFrame:
-    """Rows that have company in their bucket, under a key for their group; ``late`` ones are those of buckets over ``most``."""
+    """Rows that have company in their bucket, under the smallest id of their group; ``late`` ones are those of buckets over ``most``.
+
+    Groups of several buckets with one smallest id are one, so copies that meet in all lanes take few rows.
+    """
     names = tuple(c.split()[0] for c in _SKETCH_ROWS.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,18 +428,21 @@ def _met(rows: DataFrame, limit: int, most: int | None) -> DataFrame:
             wide = np.stack([c.view(np.uint64) for c in columns[3:]], axis=1)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
-            group, late = np.full(len(key), -1), np.zeros(len(key), dtype=bool)
+            ids, lead, grouped, late = columns[1], key.copy(), np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
             pair = start[size == 2]
             near = pair[(_apart(wide[pair], wide[pair + 1]) <= limit) & (home[pair] | home[pair + 1])]
-            group[near] = group[near + 1] = 0
+            lead[near] = lead[near + 1] = np.minimum(ids[near], ids[near + 1])
+            grouped[near] = grouped[near + 1] = True
             for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 if most is not None and n > most:
                     late[s : s + n] = True
                 elif n > 128 or np.count_nonzero(_apart(wide[s : s + n, None], wide[None, s : s + n]) <= limit) > n:
-                    group[s : s + n] = _loose_groups(wide[s : s + n], home[s : s + n], limit)
-            out = np.flatnonzero(late | (group >= 0))
-            under = np.where(late[out], key[out], _mix(key[out], group[out] + 1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(under), *(pa.array(c[out]) for c in columns[1:]), pa.array(late[out])], names=[*names, "late"])
+                    label = _loose_groups(wide[s : s + n], home[s : s + n], limit)
+                    for one in np.unique(label[label >= 0]):
+                        own = s + np.flatnonzero(label == one)
+                        lead[own], grouped[own] = ids[own].min(), True
+            out = np.flatnonzero(late | grouped)
+            yield pa.RecordBatch.from_arrays([pa.array(lead[out]), *(pa.array(c[out]) for c in columns[1:]), pa.array(late[out])], names=[*names, "late"])
 
     return rows.repartition("key").sortWithinPartitions("key").select(*names).mapInArrow(run, f"{_SKETCH_ROWS}, late boolean")
 
