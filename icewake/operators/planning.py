@@ -100,7 +100,7 @@ def share_labels(steps: DataFrame) -> DataFrame:
     """Whether the model's share of the cost is small, and whether much of the route is uncertain."""
     unsure = F.when(finite("uncertainty").isNotNull(), (F.col("uncertainty") > 0.7).cast("int"))
     sums = steps.groupBy("route_id").agg(F.sum("model_cost").alias("m"), F.sum("total_cost").alias("t"), F.avg(unsure).alias("share_unsure"))
-    return sums.select("route_id", F.when(F.col("t") > 0, F.round(F.col("m") / F.col("t"), 9) < 0.05).alias("small_model_share"), "share_unsure", (F.round("share_unsure", 9) > 0.3).alias("warn"))
+    return sums.select("route_id", F.coalesce(F.when(F.col("t") > 0, F.round(F.col("m") / F.col("t"), 9) < 0.05), F.lit(False)).alias("small_model_share"), "share_unsure", F.coalesce(F.round("share_unsure", 9) > 0.3, F.lit(False)).alias("warn"))
 
 
 def hot_stretch(steps: DataFrame, columns: list[str], above: float = 0.6) -> DataFrame:

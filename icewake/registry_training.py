@@ -124,7 +124,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "a60_share_labels",
-    f"WITH {t.STEPS}, s AS (SELECT route_id, sum(ais_cost) AS m, sum(ice_cost + wave_cost + ais_cost) AS c, avg(CASE WHEN uncertainty IS NOT NULL THEN (uncertainty > 7e-1)::INT END) AS u FROM steps GROUP BY route_id) SELECT route_id, CASE WHEN c > 0 THEN round(m / c, 9) < 5e-2 END AS small_model_share, round(u, 6) AS share_unsure, round(u, 9) > 3e-1 AS warn FROM s",
+    f"WITH {t.STEPS}, s AS (SELECT route_id, sum(ais_cost) AS m, sum(ice_cost + wave_cost + ais_cost) AS c, avg(CASE WHEN uncertainty IS NOT NULL THEN (uncertainty > 7e-1)::INT END) AS u FROM steps GROUP BY route_id) SELECT route_id, coalesce(CASE WHEN c > 0 THEN round(m / c, 9) < 5e-2 END, false) AS small_model_share, round(u, 6) AS share_unsure, coalesce(round(u, 9) > 3e-1, false) AS warn FROM s",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = t.steps(spark, d).withColumns({"model_cost": F.col("ais_cost"), "total_cost": F.col("ice_cost") + F.col("wave_cost") + F.col("ais_cost")})
