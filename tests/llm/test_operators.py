@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from icewake.llm import (
     best_fit_packing,
@@ -15,6 +16,7 @@ from icewake.llm import (
     components,
     hilbert_neighbours,
     image_copies,
+    linked_groups,
     license_scan,
     lm_scores,
     media_scenes,
@@ -507,3 +509,24 @@ def test_pipeline_stages(spark):
             assert out.columns == docs.columns and out.count() <= docs.count()
             docs = out
     assert out.agg({"length": "max"}).first()[0] <= 2048
+
+
+def test_links_under_several_keys_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    met = sorted({(int(k), int(i)) for i in range(120) for k in rng.integers(0, 25, 6)})
+    linked = lambda a, b: (a * 7 + b * 13) % 17 == 0
+    close = lambda a, b: abs(a - b) <= 60
+    want = {(a, b) for k, a in met for m, b in met if k == m and a < b and linked(a, b) and close(a, b)}
+    near = F.abs(F.col("one.id") - F.col("two.id")) <= 60
+    frame = spark.createDataFrame(met, "key long, id long")
+    got = linked_groups.class_links(frame, lambda pairs: pairs.filter((F.col("a") * 7 + F.col("b") * 13) % 17 == 0), near)
+    edges = {(r["a"], r["b"]) for r in got.collect()}
+    assert edges <= want
+
+    def classes(edges):
+        root = list(range(120))
+        for a, b in list(edges) * 120:
+            root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert classes(sorted(edges)) == classes(sorted(want))
