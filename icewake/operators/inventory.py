@@ -60,3 +60,9 @@ def clean_plan(files: DataFrame, priority: Column, keep_months: int, limit: int
     total = files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("_total"))
     placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(groups, ["priority", "_month"]).crossJoin(F.broadcast(total))
     return placed.filter(F.col("_total") - F.col("_before") - F.col("_inside") > limit).drop("_month", "_inside", "_before", "_total")
+
+
+def expired(files: DataFrame, now: int, age: int, protected: tuple[str, ...] = ()) -> DataFrame:
+    """Files last changed more than ``age`` before ``now``, but for those of protected months (A53); the rest of A53 is ``clean_plan``."""
+    kept = F.coalesce(F.col("ym").isin(*protected), F.lit(False)) if protected else F.lit(False)
+    return files.filter((F.col("mtime") < now - age) & ~kept)

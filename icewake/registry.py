@@ -476,7 +476,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import registry_evaluation, registry_training  # noqa: F401  they register their queries here
+    from . import registry_evaluation, registry_suite, registry_training  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
