@@ -96,9 +96,9 @@ def test_all_points_visit_cells(spark, monkeypatch):
     rows = [(k, *at(*c)) for k, c in places.items()] + [(11, None, 1.0)]
     points = spark.createDataFrame(rows, "point_id long, lat double, lon double")
     monkeypatch.setattr(domain_tables, "points", lambda *_: points)
-    visited = {tuple(r) for r in registry.queries()["r10_all_visited_cells"](spark, "").select("i", "j").collect()}
+    visited = {tuple(r) for r in registry.queries()["r10_visited_cells"](spark, "").select("i", "j").collect()}
     assert visited == {(0, 0), (3, 4), (39, 69)}
-    unvisited = [tuple(r) for r in registry.queries()["r16_all_unvisited_cells"](spark, "").collect()]
+    unvisited = [tuple(r) for r in registry.queries()["r16_unvisited_cells"](spark, "").collect()]
     assert len(unvisited) == axes.ny * 70 - 3 and not visited & set(unvisited)
 
 
