@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    ball_trees,
     best_fit_packing,
     chat_rotation,
+    disguised_pii,
+    filter_audit,
     hilbert_neighbours,
     image_copies,
     license_scan,
@@ -102,6 +105,25 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five exact rounds over 40 centroids."""
+    return ball_trees.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op12_disguised_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of plain matches, and all spans with the disguised ones."""
+    found = disguised_pii.find(table(spark, sf_dir, "documents"))
+    plain = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(disguised_pii.of_kind(plain, k)).cast("long").alias(f"n_{k}") for k in disguised_pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(disguised_pii.listed(plain), 256).alias("base_sha256"), disguised_pii.listed(F.col("spans")).alias("spans"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at each step of each order, by source."""
+    steps = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return steps.filter("not whole").drop("whole", "filter")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -113,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_license_scan": op9_license_scan,
     "op10_hilbert_neighbours": op10_hilbert_neighbours,
+    "op11_ball_tree_clusters": op11_ball_tree_clusters,
+    "op12_disguised_pii": op12_disguised_pii,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op7_chat_rotation": chat_rotation.ORACLE, "op8_lm_scores": lm_scores.ORACLE}
+ORACLES: dict[str, str] = {"op7_chat_rotation": chat_rotation.ORACLE, "op8_lm_scores": lm_scores.ORACLE, "op11_ball_tree_clusters": ball_trees.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
