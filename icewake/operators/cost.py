@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import risk
-from .density import with_grid_values
+from .selection import quantiles
 
 
 @dataclass(frozen=True)
@@ -28,13 +28,12 @@ class TrafficWeights:
 def with_traffic(cells: DataFrame, weights: TrafficWeights) -> DataFrame:
     """Adds corridor and congestion costs from ``density``."""
     d = F.col("density")
-    p90 = F.coalesce(F.percentile(F.when(~F.col("is_land"), d), 0.9), F.lit(1.0))
-    rows = with_grid_values(cells, _p90=p90)
-    return rows.withColumns({
+    p90 = quantiles(cells.filter("not is_land"), "density", [0.9])[0] if weights.congestion > 0 else None
+    return cells.withColumns({
         "ais_corridor": risk.corridor(d, weights.corridor) if weights.corridor > 0 else F.lit(0.0),
-        "ais_congestion": risk.congestion(d, F.col("_p90"), weights.congestion) if weights.congestion > 0 else F.lit(0.0),
+        "ais_congestion": risk.congestion(d, F.lit(1.0 if p90 is None else p90), weights.congestion) if weights.congestion > 0 else F.lit(0.0),
         "ais_legacy": F.lit(weights.legacy) * d,
-    }).drop("_p90")
+    })
 
 
 def demo_cost(cells: DataFrame, ice_penalty: float = 4.0, threshold: float = 75.0, weights: TrafficWeights = TrafficWeights()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import clip, nearest_index
 from ..functions.numbers import finite
 from .grid import GridAxes
+from .selection import quantiles
 
 
 def points_to_cells(points: DataFrame, axes: GridAxes) -> DataFrame:
@@ -62,9 +63,11 @@ def from_percent(cells: DataFrame, column: str, out: str, above: float = 1.5) ->
 def quantile_scaled(cells: DataFrame, column: str, out: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """(x - q_low) / (q_high - q_low) within 0..1; a flat field is measured from q_low on."""
     x = finite(column)
-    q = with_grid_values(cells, _low=F.percentile(x, low), _high=F.percentile(x, high))
-    top = F.when(F.col("_high") > F.col("_low"), F.col("_high")).otherwise(F.col("_low") + 1)
-    return q.withColumn(out, clip((x - F.col("_low")) / (top - F.col("_low")), 0.0, 1.0)).drop("_low", "_high")
+    bottom, top = quantiles(cells, column, [low, high])
+    if bottom is None:
+        return cells.withColumn(out, F.lit(None).cast("double"))
+    span = top - bottom if top > bottom else 1.0
+    return cells.withColumn(out, clip((x - bottom) / span, 0.0, 1.0))
 
 
 def log_congestion(cells: DataFrame, column: str, out: str) -> DataFrame:
@@ -76,7 +79,7 @@ def log_congestion(cells: DataFrame, column: str, out: str) -> DataFrame:
 
 def statistics(cells: DataFrame, column: str) -> DataFrame:
     """Count, finite share, extremes, mean and five quantiles of a layer."""
-    q = [0.01, 0.05, 0.5, 0.95, 0.99]
+    shares = [0.01, 0.05, 0.5, 0.95, 0.99]
     x = finite(column)
     return cells.agg(
         F.count("*").alias("n"),
@@ -84,7 +87,7 @@ def statistics(cells: DataFrame, column: str) -> DataFrame:
         F.min(x).alias("low"),
         F.max(x).alias("high"),
         F.avg(x).alias("mean"),
-        *(F.percentile(x, p).alias(f"q{int(100 * p):02d}") for p in q),
+        *(F.lit(q).cast("double").alias(f"q{int(100 * p):02d}") for p, q in zip(shares, quantiles(cells, column, shares), strict=True)),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import smallest
+
 
 def in_time(points: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Rows from start to end, both included; rows without a time go only if a bound is given."""
@@ -68,6 +70,10 @@ def json_fields(points: DataFrame, column: str) -> DataFrame:
 
 
 def sampled(points: DataFrame, key: str, per_class: int, label: str, seed: int = 42) -> DataFrame:
-    """At most ``per_class`` rows of each class, those of smallest hash: a sample that repeats."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return points.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= per_class).drop("_r")
+    """At most ``per_class`` rows of each class, those of smallest draw key: a sample that repeats (O03).  Classes are few."""
+    return smallest(points, [key], lambda n: per_class, seed, label)
+
+
+def drawn(points: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, those of smallest draw key."""
+    return smallest(points, [key], lambda _: n, seed)

@@ -70,28 +70,6 @@ def normalised_records(records: DataFrame, keys: dict[str, str]) -> DataFrame:
     return rows.filter("mmsi is not null and ts is not null and lat between -90 and 90 and lon between -180 and 180")
 
 
-def encounters(points: DataFrame, cell_deg: float = 0.5, minutes: int = 10, near_km: float = 5.0) -> DataFrame:
-    """Interaction risk of each cell (A41): 1 - d / near_km of the closest approaches within it, at most 1, averaged.
-
-    Each vessel counts once in a time slot and cell, by its first point there, and meets the next vessel of the
-    slot and cell in order of number, so a crowded cell makes no pairs of all with all.  Course and speed
-    give the closest approach in closed form on a local plane.
-    """
-    slot = F.floor(F.unix_timestamp("ts") / (60 * minutes))
-    at = [F.floor(F.col("lat") / cell_deg).alias("ci"), F.floor(F.col("lon") / cell_deg).alias("cj")]
-    firsts = points.select(slot.alias("slot"), *at, "mmsi", "ts", "lat", "lon", "sog", "cog").filter("lat is not null and lon is not null and mmsi is not null")
-    one = firsts.groupBy("slot", "ci", "cj", "mmsi").agg(F.min_by(F.struct("lat", "lon", "sog", "cog"), F.struct("ts", "lat", "lon")).alias("p"))
-    pairs = one.withColumn("q", F.lead("p").over(Window.partitionBy("slot", "ci", "cj").orderBy("mmsi"))).filter("q is not null")
-    km = lambda c, s: F.coalesce(F.col(f"{c}.sog"), F.lit(0.0)) * 1.852 * s(F.radians(F.coalesce(F.col(f"{c}.cog"), F.lit(0.0))))
-    x = (F.col("q.lon") - F.col("p.lon")) * 111.32 * F.cos(F.radians("p.lat"))
-    y = (F.col("q.lat") - F.col("p.lat")) * 110.574
-    vx, vy = km("q", F.sin) - km("p", F.sin), km("q", F.cos) - km("p", F.cos)
-    speed = vx * vx + vy * vy
-    t = F.when(speed > 1e-9, F.greatest(F.lit(0.0), -(x * vx + y * vy) / speed)).otherwise(0.0)
-    apart = F.sqrt(F.pow(x + vx * t, 2) + F.pow(y + vy * t, 2))
-    return pairs.withColumn("risk", F.greatest(F.lit(0.0), 1 - apart / near_km)).groupBy("ci", "cj").agg(F.avg("risk").alias("risk"), F.count("*").alias("pairs"))
-
-
 def alerts(conditions: DataFrame) -> DataFrame:
     """Alerts that fixed rules raise on iceberg, wind, ice and congestion."""
     # fixed values: column, bound, kind, severity

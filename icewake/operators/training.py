@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from math import cos, log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
+from .selection import smallest
 
 HIDDEN = (16, 8)
 
@@ -29,13 +30,13 @@ def with_density(cells: DataFrame, density: DataFrame | None) -> DataFrame:
 def sampled_cells(positive: DataFrame, ocean: DataFrame, ratio: float = 3.0, least: int = 100, seed: int = 42) -> DataFrame:
     """Visited ocean cells (label 1) and ``ratio`` times as many others (label 0), at least ``least`` if there are.
 
-    The others are those of smallest hash, so the draw is the same wherever it runs; a rank within
-    hash ranges picks them without sorting all cells in one task.
+    The others are those of smallest draw key, so the draw is the same wherever it runs; the key that bounds them is
+    found by counting in ranges of keys (``selection``), and a filter takes them.
     """
     hit = ocean.select("i", "j").join(positive.select("i", "j").distinct(), ["i", "j"], "left_semi").withColumn("label", F.lit(1))
-    rest = ocean.select("i", "j").join(positive.select("i", "j").distinct(), ["i", "j"], "left_anti").withColumn("h", F.xxhash64("i", "j", F.lit(seed)))
+    rest = ocean.select("i", "j").join(positive.select("i", "j").distinct(), ["i", "j"], "left_anti")
     wanted = max(int(hit.count() * ratio), least)
-    return hit.union(rest.orderBy("h", "i", "j").limit(wanted).select("i", "j", F.lit(0).alias("label")))
+    return hit.union(smallest(rest, ["i", "j"], lambda n: wanted, seed).select("i", "j", F.lit(0).alias("label")))
 
 
 def export_frame(cells: DataFrame, labels: DataFrame, features: list[str], month: int = 8, day: int = 220, vessel_class: int = 1) -> DataFrame:
@@ -43,34 +44,6 @@ def export_frame(cells: DataFrame, labels: DataFrame, features: list[str], month
     return frame(cells, features, month, vessel_class).join(labels.select("i", "j", "label"), ["i", "j"]).withColumn("day", F.lit(day))
 
 
-def auc_grid(samples: DataFrame, exponents: list[tuple[float, float]], buckets: int = 200) -> DataFrame:
-    """Area under the curve of sic ** p + (wave / 6) ** q for all pairs of exponents (A23), best first rank.
-
-    Scores are counted into buckets, so that a pair of exponents takes ``buckets`` rows whatever the samples;
-    positives and negatives of one bucket count as ties.
-    """
-    spark = samples.sparkSession
-    pairs = spark.createDataFrame([(float(p), float(q)) for p, q in exponents], "p double, q double")
-    score = F.pow("sic", F.col("p")) + F.pow(F.col("wave") / 6.0, F.col("q"))
-    bucket = F.floor(F.least(F.lit(1.0), F.round(score / 4.0, 9)) * buckets)
-    counts = samples.crossJoin(F.broadcast(pairs)).groupBy("p", "q", bucket.alias("b")).agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    w = Window.partitionBy("p", "q").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    below = counts.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    won = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)) / (F.sum("pos") * F.sum("neg"))
-    return below.groupBy("p", "q").agg(won.alias("auc"))
-
-
-def bootstrap_counts(rows: DataFrame, key: str, draws: int, seed: int = 7) -> DataFrame:
-    """Every row with its weight in each of ``draws`` resamples: Poisson weights of mean one, from a hash."""
-    u = (F.pmod(F.xxhash64(key, "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        weight = weight + (u > total).cast("int")
-        term /= k + 1
-    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("weight", weight)
-
-
 def fixed_weights(rows: int, columns: int, layer: int) -> list[list[float]]:
     """An untrained layer: values within the Xavier bound, from a rule in place of a random state."""
     bound = sqrt(6.0 / (rows + columns))

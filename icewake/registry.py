@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, risk
-from .operators import cost, density, grid, modes, points, routes, search
+from .operators import cost, density, grid, modes, points, routes, search, selection
 from .plans import domain_tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,7 +316,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return points.json_fields(t.points(spark, d), "props").groupBy("field").agg(F.sum("n").alias("n"))
 
 
-@_query("o03_class_sample")
+@_query("o03_class_sample", f"WITH {t.POINTS} SELECT point_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ('0x' || substr(md5('42:' || point_id), 1, 15))::BIGINT) AS r FROM points) WHERE r <= 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return points.sampled(t.points(spark, d), "point_id", 20, "event_type").select("point_id", "event_type")
 
@@ -354,8 +354,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("a10_density_along", f"WITH {t.STEPS}, p AS (SELECT quantile_cont(density, 0.2) AS lo, quantile_cont(density, 0.8) AS hi FROM steps) SELECT route_id, round(avg(density), 6) AS mean_density, max(density) AS max_density, round(avg(CASE WHEN density IS NOT NULL THEN (density > round(hi, 6))::INT END), 6) AS share_high, round(avg(CASE WHEN density IS NOT NULL THEN (density < round(lo, 6))::INT END), 6) AS share_low, sum((density IS NULL)::INT)::BIGINT AS missing FROM steps, p GROUP BY route_id")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = density.with_grid_values(t.steps(spark, d), lo=F.round(F.percentile("density", 0.2), 6), hi=F.round(F.percentile("density", 0.8), 6))
-    a = routes.density_along(s, F.col("lo"), F.col("hi"))
+    s = t.steps(spark, d)
+    low, high = (F.round(F.lit(q), 6) for q in selection.quantiles(s, "density", [0.2, 0.8]))
+    a = routes.density_along(s, low, high)
     return a.select("route_id", _r("mean_density", "mean_density"), "max_density", _r("share_high", "share_high"), _r("share_low", "share_low"), "missing")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import risk
-from .operators import density, grid, modes, planning, points, records, routes, training
+from .operators import density, encounters, grid, logistic, modes, planning, points, records, routes, training
 from .plans import domain_tables as t
 from .registry import _AT, _COMPARED, _DENSITY, _FIRST, _RASTER, _clip, _demo_density, _over_cells, _query, _r, demo_route
 
@@ -213,26 +215,92 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return training.with_density(cells, cells.filter((F.col("i") + F.col("j")) % 3 == 0).select("i", "j", "density")).select("i", "j", "density")
 
 
+def _drawn(columns: str, seed: int = 42) -> str:
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {columns})), 1, 15))::BIGINT"
+
+
+@_query("f07_drawn_cells", f"""WITH {t.CELLS}, o AS (SELECT i, j, density > 9e-1 AS hit, {_drawn('i::VARCHAR, j::VARCHAR')} AS k FROM cells WHERE NOT is_land),
+n AS (SELECT i, j, row_number() OVER (ORDER BY k) AS r FROM o WHERE NOT hit) SELECT i, j, 1 AS label FROM o WHERE hit UNION ALL SELECT i, j, 0 FROM n WHERE r <= greatest(3 * (SELECT count_if(hit) FROM o), 100)""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    ocean = t.cells(spark, d).filter("not is_land")
+    return training.sampled_cells(ocean.filter("density > 0.9"), ocean)
+
+
+@_query("o04_sample", f"WITH {t.POINTS} SELECT point_id FROM points ORDER BY {_drawn('point_id::VARCHAR', 7)} LIMIT 500")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return points.drawn(t.points(spark, d), "point_id", 500, 7).select("point_id")
+
+
+# Labels that ice and waves raise, for the fits.
+LABELLED = f"""{t.CELLS}, ls AS (SELECT i * {t.WIDTH} + j AS id, lat, greatest(0e0, least(1e0, sic)) AS sic, greatest(0e0, least(1e1, wave)) AS wave,
+ CASE WHEN (i * 31 + j * 17) % 1009 < 1009 * (1e-1 + 5e-1 * sic * sic + 3e-2 * wave) THEN 1 ELSE 0 END AS y FROM cells WHERE sic IS NOT NULL)"""
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    y = F.when((F.col("i") * 31 + F.col("j") * 17) % 1009 < 1009 * (0.1 + 0.5 * F.col("sic") * F.col("sic") + 0.03 * F.col("wave")), 1).otherwise(0)
+    return t.cells(spark, d).filter("sic is not null").select((F.col("i") * t.WIDTH + F.col("j")).alias("id"), "lat", "sic", "wave", y.alias("label"))
+
+
+def _newton(keys: str, steps: int = 9) -> str:
+    """Newton steps over rows r (keys, x1, x2, y, w, tw), three normal equations at a time, then f (coefficients, mean loss) and area (auc)."""
+    on = f"USING ({keys})"
+    text = [f"c0 AS (SELECT DISTINCT {keys}, 0e0 AS b0, 0e0 AS b1, 0e0 AS b2 FROM r)"]
+    for k in range(steps):
+        text.append(f"""s{k} AS MATERIALIZED (SELECT {keys}, b0, b1, b2, sum(w * (y - m)) AS g0, sum(w * (y - m) * x1) - b1 AS g1, sum(w * (y - m) * x2) - b2 AS g2, sum(o) AS a, sum(o * x1) AS b, sum(o * x2) AS c, sum(o * x1 * x1) + 1 AS e, sum(o * x1 * x2) AS f, sum(o * x2 * x2) + 1 AS h
+ FROM (SELECT *, w * m * (1 - m) AS o FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS m FROM r JOIN c{k} {on})) GROUP BY {keys}, b0, b1, b2)""")
+        det = "(a * (e * h - f * f) - b * (b * h - f * c) + c * (b * f - e * c))"
+        text.append(f"""c{k + 1} AS MATERIALIZED (SELECT {keys}, b0 + (g0 * (e * h - f * f) - b * (g1 * h - f * g2) + c * (g1 * f - e * g2)) / {det} AS b0,
+ b1 + (a * (g1 * h - f * g2) - g0 * (b * h - f * c) + c * (b * g2 - g1 * c)) / {det} AS b1, b2 + (a * (e * g2 - g1 * f) - b * (b * g2 - g1 * c) + g0 * (b * f - e * c)) / {det} AS b2 FROM s{k})""")
+    text.append(f"z AS MATERIALIZED (SELECT *, round(b0 + b1 * x1 + b2 * x2, 9) AS z FROM r JOIN c{steps} {on})")
+    text.append(f"f AS (SELECT {keys}, b0, b1, b2, sum(w * (ln(1 + exp(z)) - y * z)) / sum(w) AS log_loss FROM z GROUP BY {keys}, b0, b1, b2)")
+    text.append(f"zz AS (SELECT {keys}, z, sum(tw * y) AS pos, sum(tw * (1 - y)) AS neg FROM z WHERE tw > 0 GROUP BY {keys}, z)")
+    text.append(f"area AS (SELECT {keys}, sum(pos * (below - neg / 2e0)) / (sum(pos) * sum(neg)) AS auc FROM (SELECT *, sum(neg) OVER (PARTITION BY {keys} ORDER BY z) AS below FROM zz) GROUP BY {keys})")
+    return ",\n".join(text)
+
+
+_CV = [(1.0, 1.0), (2.0, 1.0), (1.5, 0.8)]
 _EXPONENTS = [(round(0.5 + 0.1 * a, 1), round(0.5 + 0.1 * b, 1)) for a in range(26) for b in range(26)]
-_AUC = f"""{t.CELLS}, e AS (SELECT (5 + a) / 1e1 AS p, (5 + b) / 1e1 AS q FROM (SELECT unnest(range(26)) AS a), (SELECT unnest(range(26)) AS b)),
-k AS (SELECT p, q, floor(least(1e0, round((pow(sic, p) + pow(wave / 6, q)) / 4, 9)) * 200) AS b, sum(label) AS pos, sum(1 - label) AS neg FROM (SELECT sic, wave, (density > 7e-1)::INT AS label FROM cells WHERE sic IS NOT NULL), e GROUP BY ALL),
-w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY p, q ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM k),
-auc AS (SELECT p, q, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM w GROUP BY p, q)"""
+_GRID = "(SELECT (5 + a) / 1e1 AS p, (5 + b) / 1e1 AS q FROM (SELECT unnest(range(26)) AS a), (SELECT unnest(range(26)) AS b))"
+_AUC = f"{LABELLED}, g AS (SELECT sic, wave, y, count(*)::DOUBLE AS w FROM ls GROUP BY ALL), r AS MATERIALIZED (SELECT p, q, pow(sic, p) AS x1, pow(wave, q) AS x2, y, w, w AS tw FROM g, {_GRID}), {_newton('p, q')}"
+
+
+@_query(
+    "a22_fitted_quality",
+    f"""WITH {LABELLED}, e AS (SELECT * FROM (VALUES {', '.join(f'({p}::DOUBLE, {q}::DOUBLE)' for p, q in _CV)}) e(p, q)), ends AS (SELECT quantile_cont(lat, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS l FROM ls),
+v AS (SELECT unnest(range(6)) AS v), r AS MATERIALIZED (SELECT p, q, v, pow(sic, p) AS x1, pow(wave, q) AS x2, y, CASE WHEN v = 0 OR NOT lat BETWEEN l[v] AND l[v + 1] THEN 1e0 ELSE 0e0 END AS w, CASE WHEN v = 0 OR lat BETWEEN l[v] AND l[v + 1] THEN 1e0 ELSE 0e0 END AS tw FROM ls, e, v, ends),
+{_newton('p, q, v')}
+SELECT p, q, round(b0, 6) AS b0, round(b1, 6) AS b1, round(b2, 6) AS b2, round(auc, 6) AS auc, round(log_loss, 6) AS log_loss, round(m, 6) AS cv_auc_mean, round(s, 6) AS cv_auc_std, n, k AS n_positive
+FROM f JOIN area USING (p, q, v) JOIN (SELECT p, q, avg(auc) AS m, stddev_pop(auc) AS s FROM area WHERE v > 0 GROUP BY p, q) USING (p, q), (SELECT count(*) AS n, sum(y)::BIGINT AS k FROM ls) WHERE v = 0""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = logistic.calibrate(_labelled(spark, d), _CV, blocks=5)
+    return c.select("p", "q", *(_r(x, x) for x in ("b0", "b1", "b2", "auc", "log_loss", "cv_auc_mean", "cv_auc_std")), "n", "n_positive")
 
 
-def _auc(spark: SparkSession, d: str) -> DataFrame:
-    samples = t.cells(spark, d).filter("sic is not null").select("sic", "wave", (F.col("density") > 0.7).cast("int").alias("label"))
-    return training.auc_grid(samples, _EXPONENTS).select("p", "q", _r("auc", "auc"))
+@_query("a23_auc_grid", f"WITH {_AUC} SELECT p, q, round(auc, 6) AS auc, round(log_loss, 6) AS log_loss FROM f JOIN area USING (p, q)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return logistic.calibrate(_labelled(spark, d), _EXPONENTS).select("p", "q", _r("auc", "auc"), _r("log_loss", "log_loss"))
 
 
-@_query("a23_auc_grid", f"WITH {_AUC} SELECT p, q, auc FROM auc")
+@_query("w09_best_exponents", f"WITH {_AUC} SELECT p, q, round(auc, 6) AS auc FROM area ORDER BY round(auc, 6) DESC, p, q LIMIT 20")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _auc(spark, d)
+    return logistic.calibrate(_labelled(spark, d), _EXPONENTS).select("p", "q", _r("auc", "auc")).orderBy(F.desc("auc"), "p", "q").limit(20)
+
 
+_POISSON = " + ".join(f"(u > {sum(0.36787944117144233 / factorial(j) for j in range(k + 1))!r})::INT" for k in range(10))
 
-@_query("w09_best_exponents", f"WITH {_AUC} SELECT p, q, auc FROM auc ORDER BY auc DESC, p, q LIMIT 20")
+
+@_query(
+    "a23_intervals",
+    f"""WITH {LABELLED}, d AS (SELECT unnest(range(20)) AS v), u AS (SELECT sic, wave, y, v, (('0x' || substr(md5(id || ':' || v), 1, 8))::BIGINT + 5e-1) / 4294967296e0 AS u FROM ls, d),
+g AS (SELECT sic, wave, y, v, sum({_POISSON})::DOUBLE AS w FROM u GROUP BY sic, wave, y, v), e AS (SELECT (19 + a) / 1e1 AS p, (9 + b) / 1e1 AS q FROM (SELECT unnest(range(3)) AS a), (SELECT unnest(range(3)) AS b)),
+r AS MATERIALIZED (SELECT p, q, v, pow(sic, p) AS x1, pow(wave, q) AS x2, y, w, w AS tw FROM g, e WHERE w > 0), {_newton('p, q, v')},
+best AS (SELECT v, p, q FROM area QUALIFY row_number() OVER (PARTITION BY v ORDER BY -round(auc, 9), p, q) = 1)
+SELECT quantile_cont(p, 0.025) AS p_low, quantile_cont(p, 0.975) AS p_high, quantile_cont(q, 0.025) AS q_low, quantile_cont(q, 0.975) AS q_high, count(*) AS draws FROM best""",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _auc(spark, d).orderBy(F.desc("auc"), "p", "q").limit(20)
+    c = logistic.intervals(_labelled(spark, d), "id", 2.0, 1.0, draws=20, reach=1)
+    return c.select(*(_r(x, x) for x in ("p_low", "p_high", "q_low", "q_high")), "draws")
 
 
 _INPUTS = ["f_sic", "f_wave", "f_thickness", "f_lat", "f_lon"]
@@ -282,17 +350,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(
     "a41_encounters",
-    f"""WITH {t.POINTS}, f AS (SELECT floor(epoch(ts)::BIGINT / 86400e0) AS slot, floor(lat / 4) AS ci, floor(lon / 4) AS cj, mmsi, ts, lat, lon, sog, (point_id * 37 % 360)::DOUBLE AS cog FROM points),
-o AS (SELECT slot, ci, cj, mmsi, arg_min({{'lat': lat, 'lon': lon, 'sog': sog, 'cog': cog}}, (ts, lat, lon)) AS p FROM f GROUP BY ALL),
-m AS (SELECT slot, ci, cj, p, lead(p) OVER (PARTITION BY slot, ci, cj ORDER BY mmsi) AS q FROM o),
-g AS (SELECT ci, cj, (q.lon - p.lon) * 11132e-2 * cos(radians(p.lat)) AS x, (q.lat - p.lat) * 110574e-3 AS y,
- coalesce(q.sog, 0) * 1852e-3 * sin(radians(q.cog)) - coalesce(p.sog, 0) * 1852e-3 * sin(radians(p.cog)) AS vx, coalesce(q.sog, 0) * 1852e-3 * cos(radians(q.cog)) - coalesce(p.sog, 0) * 1852e-3 * cos(radians(p.cog)) AS vy FROM m WHERE q IS NOT NULL),
-h AS (SELECT *, CASE WHEN vx * vx + vy * vy > 1e-9 THEN greatest(0e0, -(x * vx + y * vy) / (vx * vx + vy * vy)) ELSE 0e0 END AS t FROM g)
-SELECT ci::BIGINT AS ci, cj::BIGINT AS cj, round(avg(greatest(0e0, 1 - sqrt(pow(x + vx * t, 2) + pow(y + vy * t, 2)) / 1e2)), 6) AS risk, count(*) AS pairs FROM h GROUP BY ci, cj""",
+    f"""WITH {t.POINTS}, s AS (SELECT floor(epoch(ts) / 86400)::BIGINT AS slot, mmsi, arg_min({{'lat': lat, 'lon': lon, 'sog': sog, 'cog': cog}}, (ts, lat, lon, sog, cog)) AS p
+ FROM (SELECT *, (point_id * 37 % 360)::DOUBLE AS cog FROM points) GROUP BY ALL),
+g AS (SELECT a.slot, a.p AS p, b.p AS q, (b.p.lon - a.p.lon) * 11132e-2 * cos(radians((a.p.lat + b.p.lat) / 2)) AS x, (b.p.lat - a.p.lat) * 110574e-3 AS y FROM s a JOIN s b ON a.slot = b.slot AND a.mmsi < b.mmsi),
+k AS (SELECT *, q.sog * 1852e-3 * sin(radians(q.cog)) - p.sog * 1852e-3 * sin(radians(p.cog)) AS vx, q.sog * 1852e-3 * cos(radians(q.cog)) - p.sog * 1852e-3 * cos(radians(p.cog)) AS vy FROM g WHERE x * x + y * y <= 300e0 * 300e0),
+h AS (SELECT *, CASE WHEN vx * vx + vy * vy > 1e-9 THEN greatest(0e0, -(x * vx + y * vy) / (vx * vx + vy * vy)) ELSE 0e0 END AS t FROM k),
+r AS (SELECT floor((p.lat + q.lat) / 2 / 4)::BIGINT AS ci, floor((p.lon + q.lon) / 2 / 4)::BIGINT AS cj, greatest(0e0, 1 - sqrt(pow(x + vx * t, 2) + pow(y + vy * t, 2)) / 300e0) AS risk FROM h)
+SELECT ci, cj, round(avg(risk), 6) AS risk, round(max(risk), 6) AS worst, count(*) AS pairs FROM r GROUP BY ci, cj""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.points(spark, d).withColumn("cog", (F.col("point_id") * 37 % 360).cast("double"))
-    return records.encounters(p, 4.0, 1440, 100.0).select(F.col("ci").cast("long"), F.col("cj").cast("long"), _r("risk", "risk"), "pairs")
+    met = encounters.pairs(p, reach_km=300.0, minutes=1440, tile_deg=4.0)
+    return encounters.interaction(met, 300.0, 4.0).select("ci", "cj", _r("risk", "risk"), _r("worst", "worst"), "pairs")
 
 
 _CONDITIONS = "k AS (SELECT event_id AS point_id, (event_id * 13 % 101)::DOUBLE AS iceberg, (event_id * 7 % 41)::DOUBLE AS wind, (event_id * 17 % 101)::DOUBLE AS ice, (event_id * 29 % 101)::DOUBLE AS congestion FROM events)"
