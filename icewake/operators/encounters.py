@@ -57,7 +57,8 @@ def pairs(points: DataFrame, reach_km: float = 10.0, minutes: int = 10, tile_deg
     hours = F.when(v2 > 1e-9, F.greatest(F.lit(0.0), -(F.col("x") * F.col("vx") + F.col("y") * F.col("vy")) / v2)).otherwise(0.0)
     made = made.withColumn("hours", hours)
     closest = F.sqrt(F.pow(F.col("x") + F.col("vx") * F.col("hours"), 2) + F.pow(F.col("y") + F.col("vy") * F.col("hours"), 2))
-    middle = F.pmod(F.col("lon1") + (F.pmod(F.col("lon2") - F.col("lon1") + 540.0, F.lit(360.0)) - 180.0) / 2 + 180.0, F.lit(360.0)) - 180.0
+    plain = (F.col("lon1") + F.col("lon2")) / 2
+    middle = F.when(F.abs(F.col("lon2") - F.col("lon1")) <= 180, plain).otherwise(plain - 180.0 * F.when(plain > 0, 1).otherwise(-1))
     return made.select("slot", "a", "b", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("km"), closest.alias("closest_km"), "hours", ((F.col("lat1") + F.col("lat2")) / 2).alias("lat"), middle.alias("lon"))
 
 
