@@ -1,11 +1,14 @@
 """Links within groups of rows that may be alike, without emitting all pairs of a group.
 
 Whatever finds candidates (a Hamming table, a bucket of fingerprints) leaves rows ``(key, id)``: ids under
-one key may be linked.  Every id is compared with one leader under its key; most groups are one class after
-that, however large.  Where very many pairs of different classes are left under the keys, another leader
-follows.  Then all ids under one key that are still in different classes are compared
-with each other.  So every pair under a key is either compared or in one class: no link between classes is
-lost, and pairs within a class are never expanded.
+one key may be linked.  In turns, all ids under a key are compared with a few leaders of it, at first one, then ``GROWTH``
+times as many each turn.  Links join ids into classes; a key whose ids are of one class is done, which is most of
+them after the first turn, however many ids they hold.  A leader has met all others of its key and leaves it.  Only where few pairs
+of different classes are left, or leaders have become very many, all ids under one key that are still in different
+classes are compared with each other.  So every pair under a key is either compared or in one class: no link between
+classes is lost, and pairs within a class are never expanded.
+
+Defined results: without rows there are no links; an id that is alone under its keys has none; repeated rows count once.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from .common import discard, materialise
 from .components import connected_components
 
 PAIRS_A_ROW = 4  # pairs between classes, for each row of the groups, that are few
-LEADERS = 2  # leaders that the ids under a key are compared with before all pairs of different classes
+GROWTH = 8  # times as many leaders a turn
+LEADERS = 512  # of a key in one turn, at most
 
 
 def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near: Column | bool = True) -> DataFrame:
@@ -29,31 +33,33 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
     ``met`` has key, id and what ``near``, a symmetric condition over two of its rows (aliases one and two)
     that all links meet, reads, which an id has alike under all its keys; ``verified`` keeps the true ones of pairs ``(a, b)``.
     """
+    met = met.dropDuplicates(["key", "id"])
     rows = met.count()
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
-    placed, finished, turn = met.withColumn("root", F.col("id")), False, 0
-    apart = before_apart = None
-    while not finished:
-        if turn:
-            together = materialise(_union(links), "all_links")
-            roots = connected_components(together)
-            rooted = met.join(roots, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
-            placed = rooted = materialise(rooted, "rooted")  # read twice
-            split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-            apart = materialise(placed.join(split, "key", "left_semi"), "apart")
-            discard(roots, together, rooted)
-            placed, met = apart, apart.drop("root")  # ids of a key that are of one class stay so
-            finished = turn == LEADERS or _crossing(apart) <= PAIRS_A_ROW * rows
-        pairs = _pairs(placed, placed if finished else _leaders(placed, turn), near)
+    placed, leaders, count, written = met.withColumn("root", F.col("id")), None, 1, None
+    while True:
+        every = leaders is not None and (count > LEADERS or _crossing(placed) <= PAIRS_A_ROW * rows)
+        leaders = placed if every else materialise(_leaders(placed, count), "leaders")
+        pairs = _pairs(placed, leaders, near, every)
         for before in tried:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         tried.append(materialise(pairs, "tried"))
         links.append(materialise(verified(tried[-1]), "links"))
-        discard(before_apart)
-        before_apart = apart
-        turn += 1
-    discard(*tried, before_apart)
+        if every or rows == 0:
+            break
+        left = placed.drop("root").join(leaders.select("key", "id"), ["key", "id"], "left_anti")
+        together = materialise(_union(links), "all_links")
+        roots = connected_components(together)
+        rooted = materialise(_rooted(left, roots), "rooted")  # read twice
+        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+        apart = materialise(rooted.join(split, "key", "left_semi"), "apart")  # ids of a key that are of one class stay so
+        discard(roots, together, rooted, written, leaders)
+        placed = written = apart
+        count *= GROWTH
+        if apart.isEmpty():
+            break
+    discard(*tried, written)
     return _union(links)
 
 
@@ -61,32 +67,41 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
 
 
+def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """``met`` with the root of each id, itself where it has none; an id is under a bounded number of keys."""
+    known = roots.select(F.col("node").alias("id"), "root")
+    both = met.withColumn("root", F.lit(None).cast("long")).unionByName(known, allowMissingColumns=True)
+    spread = both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("id")), "id"))
+    return spread.filter("key is not null").select(*met.columns, "root")
+
+
 def _crossing(apart: DataFrame) -> int:
     """Pairs of different classes under the keys, counted without making them."""
     sizes = apart.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))
     return (sizes.agg(F.sum("twice")).first()[0] or 0) // 2
 
 
-def _leaders(placed: DataFrame, turn: int) -> DataFrame:
-    """One row of each key; every turn has other leaders."""
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-    return placed.groupBy("key").agg(F.min_by(F.struct(*(c for c in placed.columns if c != "key")), order).alias("leader")).select("key", "leader.*")
+def _leaders(placed: DataFrame, count: int) -> DataFrame:
+    """The first rows of each key in an order of ids that all keys share; the smallest id alone at first."""
+    if count == 1:
+        least = F.min_by(F.struct(*(c for c in placed.columns if c != "key")), "id")
+        return placed.groupBy("key").agg(least.alias("leader")).select("key", "leader.*")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    return placed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= count).drop("place")
 
 
-def _pairs(placed: DataFrame, others: DataFrame, near: Column | bool) -> DataFrame:
-    """``(a, b)``, a < b: ids under one key that are in different classes and near.
+def _pairs(placed: DataFrame, leaders: DataFrame, near: Column | bool, every: bool) -> DataFrame:
+    """``(a, b)``, a < b: ids and leaders under one key that are in different classes and near.
 
-    Where all ids under a key are compared, two of them are so under the smallest key that they share only.
+    Two of them meet under the smallest key only that they share and that one of them leads.
     """
-    every = others is placed
-    if every:
-        placed = others = placed.withColumn("keys", F.collect_set("key").over(Window.partitionBy("id")))
+    keys = F.collect_set("key").over(Window.partitionBy("id"))
+    placed, leaders = placed.withColumn("keys", keys), leaders.withColumn("keys", keys)
     cross = (F.col("one.key") == F.col("two.key")) & (F.col("one.root") != F.col("two.root"))
     if every:
         cross &= F.col("one.id") < F.col("two.id")
     if near is not True:
         cross &= near
-    if every:
-        cross &= F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
-    joined = placed.alias("one").join(others.alias("two"), cross)
+    cross &= F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
+    joined = placed.alias("one").join(leaders.alias("two"), cross)
     return joined.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()

@@ -530,3 +530,18 @@ def test_links_under_several_keys_equal_brute_force(spark):
         return root
 
     assert classes(sorted(edges)) == classes(sorted(want))
+
+
+def test_links_of_a_long_chain_under_one_key_take_few_pairs(spark):
+    """No id is linked with more than two others: leaders alone join nothing, and the turns must end."""
+    frame = spark.range(1500).select(F.lit(7).cast("long").alias("key"), "id").union(spark.range(1500).select((F.col("id") % 5).alias("key"), "id"))
+    near, seen = F.abs(F.col("one.id") - F.col("two.id")) <= 3, []
+
+    def verified(pairs):
+        seen.append(pairs.count())
+        return pairs.filter("b - a = 1")
+
+    edges = {(r["a"], r["b"]) for r in linked_groups.class_links(frame, verified, near).collect()}
+    assert edges == {(k, k + 1) for k in range(1499)}
+    assert sum(seen) <= 3 * 1500 and len(seen) <= 6
+    assert linked_groups.class_links(frame.limit(0), verified, near).count() == 0
