@@ -262,19 +262,20 @@ def consensus(first: np.ndarray, second: np.ndarray) -> int:
 
 
 def _verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those pairs ``(a, b)`` of which enough corners agree on one transform."""
+    """Those pairs ``(a, b)`` of which enough corners agree on one transform, with all columns (longs)."""
+    names = pairs.columns
     of = lambda c: found.select(F.col("image_id").alias(c), F.col("points").alias(f"{c}_points"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = ([np.frombuffer(x, dtype=_POINT) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            p, q = ([np.frombuffer(x, dtype=_POINT) for x in batch.column(c).to_pylist()] for c in ("a_points", "b_points"))
             agreed = [consensus(x, y) >= CONSENSUS for x, y in zip(p, q)]
-            yield batch.filter(pa.array(agreed, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(agreed, pa.bool_())).select(names)
 
     # the pairs are few and their comparison is long, so they are dealt out evenly
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_points", "b_points").repartition(tasks, F.xxhash64("a", "b", F.lit("pair")))
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").select(*names, "a_points", "b_points").repartition(tasks, F.xxhash64("a", "b", F.lit("pair")))
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def copy_links(found: DataFrame) -> DataFrame:

@@ -31,7 +31,8 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
     """``(a, b)``, a < b: verified links that join all ids of each class.
 
     ``met`` has key, id and what ``near``, a symmetric condition over two of its rows (aliases one and two)
-    that all links meet, reads, which an id has alike under all its keys; ``verified`` keeps the true ones of pairs ``(a, b)``.
+    that all links meet, reads, which an id has alike under all its keys; ``verified`` keeps the true ones of pairs ``(a, b)``,
+    with the columns they come with.  Of the links that a turn finds between two classes one is kept.
     """
     met = met.dropDuplicates(["key", "id"])
     rows = met.count()
@@ -43,9 +44,9 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
         leaders = placed if every else materialise(_leaders(placed, count), "leaders")
         pairs = _pairs(placed, leaders, near, every)
         for before in tried:
-            pairs = pairs.join(before, ["a", "b"], "left_anti")
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
         tried.append(materialise(pairs, "tried"))
-        links.append(materialise(verified(tried[-1]), "links"))
+        links.append(materialise(verified(tried[-1]).dropDuplicates(["low", "high"]).select("a", "b"), "links"))
         if every or rows == 0:
             break
         left = placed.drop("root").join(leaders.select("key", "id"), ["key", "id"], "left_anti")
@@ -91,7 +92,7 @@ def _leaders(placed: DataFrame, count: int) -> DataFrame:
 
 
 def _pairs(placed: DataFrame, leaders: DataFrame, near: Column | bool, every: bool) -> DataFrame:
-    """``(a, b)``, a < b: ids and leaders under one key that are in different classes and near.
+    """``(a, b, low, high)``, a < b: ids and leaders under one key that are in different classes and near, and the two classes.
 
     Two of them meet under the smallest key only that they share and that one of them leads.
     """
@@ -104,4 +105,5 @@ def _pairs(placed: DataFrame, leaders: DataFrame, near: Column | bool, every: bo
         cross &= near
     cross &= F.array_min(F.array_intersect("one.keys", "two.keys")) == F.col("one.key")
     joined = placed.alias("one").join(leaders.alias("two"), cross)
-    return joined.select(F.least("one.id", "two.id").alias("a"), F.greatest("one.id", "two.id").alias("b")).distinct()
+    ends = [f(f"one.{c}", f"two.{c}").alias(n) for c, names in (("id", ("a", "b")), ("root", ("low", "high"))) for f, n in zip((F.least, F.greatest), names, strict=True)]
+    return joined.select(*ends).distinct()

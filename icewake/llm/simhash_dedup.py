@@ -462,16 +462,17 @@ def jaccard(first: np.ndarray, second: np.ndarray) -> float:
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity."""
+    """Those pairs ``(a, b)`` whose shingle sets have at least this Jaccard similarity, with all columns (longs)."""
+    names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = ([np.frombuffer(x, dtype="<u8") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            p, q = ([np.frombuffer(x, dtype="<u8") for x in batch.column(c).to_pylist()] for c in ("a_set", "b_set"))
             good = [jaccard(x, y) >= similarity for x, y in zip(p, q)]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+            yield batch.filter(pa.array(good, pa.bool_())).select(names)
 
     of = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(*names, "a_set", "b_set").mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def _bound(share: float, bits: int, spreads: float) -> int:
