@@ -2,52 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import finite
+from ..sources.scratch import Written
 from .density import normalised, points_to_cells
 from .grid import GridAxes
 
-_WORLD = 1024.0  # degrees; tiles of this size hold every cell in one neighbourhood
+DEPTH = 16  # halvings of each axis from all cells to the finest tiles
+STRIDE = 2  # halvings from a level of tiles to the next
+FEW = 16  # cells of a tile that are compared as they are
+TINY = 4096  # tiles of a level that go to every task
 
 
-def nearest_cells(points: DataFrame, cells: DataFrame, tile: float = 1.0) -> DataFrame:
+def nearest_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Each point's nearest cell by Euclidean degrees, the first in row order on a tie.
 
-    Points meet the cells of their own and the eight tiles around it, an equi-join.  A cell beyond them is at
-    least one tile away, so a nearer find is exact.  Points without one go on with tiles four times as large.
-    Points without a position, and all points over an empty grid, are left out.
+    Tiles of halved size are counted level by level, with the box that their cells fill.  Every point goes down the levels: of the
+    tiles left to it, those whose box is farther than the farthest corner of some other box are dropped.  Tiles of few cells are
+    compared cell by cell.  So a point meets a few tiles a level, however far or crowded the cells are, and no tile is joined
+    with all points.  Points without a position, and all points over an empty grid, are left out; of cells at one place the first counts.
     """
-    left = points.filter("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("point_id", "lat", "lon")
-    placed = cells.filter("lat is not null and lon is not null").select("i", "j", F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    reach = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    found = None
-    while True:
-        at = lambda c: F.floor(F.col(c) / tile)  # noqa: E731, B023
-        around = left.withColumn("_a", F.explode(reach)).withColumn("_b", F.explode(reach)).withColumns({"_a": at("lat") + F.col("_a"), "_b": at("lon") + F.col("_b")})
-        met = around.join(placed.withColumns({"_a": at("clat"), "_b": at("clon")}), ["_a", "_b"])
-        d2 = (F.col("clat") - F.col("lat")) * (F.col("clat") - F.col("lat")) + (F.col("clon") - F.col("lon")) * (F.col("clon") - F.col("lon"))
-        best = met.groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("x"))
-        last = tile >= _WORLD
-        sure = best if last else best.filter(F.col("x.d2") < tile * tile)
-        found = sure if found is None else found.unionByName(sure)
-        if last:
-            return found.select("point_id", "x.i", "x.j", F.sqrt("x.d2").alias("degrees"))
-        left = left.join(best.filter(F.col("x.d2") < tile * tile).select("point_id"), "point_id", "left_anti")
-        if left.isEmpty():
-            return found.select("point_id", "x.i", "x.j", F.sqrt("x.d2").alias("degrees"))
-        tile *= 4
-
-
-def nearest_ocean_anywhere(points: DataFrame, cells: DataFrame, tile: float = 1.0) -> DataFrame:
+    usable = [finite(c).alias(c) for c in ("lat", "lon")]
+    asked = points.select("point_id", *usable).filter("lat is not null and lon is not null")
+    placed = cells.select("i", "j", finite("lat").alias("clat"), finite("lon").alias("clon")).filter("clat is not null and clon is not null")
+    placed = placed.groupBy("clat", "clon").agg(F.min(F.struct("i", "j")).alias("at")).select("clat", "clon", "at.i", "at.j")
+    ends = placed.agg(*(f(c).alias(f"{n}_{c}") for c in ("clat", "clon") for n, f in (("low", F.min), ("high", F.max)))).first()
+    if ends[0] is None:
+        return asked.select("point_id", F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("degrees")).limit(0)
+    fine = lambda c: F.least(F.lit((1 << DEPTH) - 1), F.floor((F.col(c) - ends[f"low_{c}"]) / ((ends[f"high_{c}"] - ends[f"low_{c}"]) or 1.0) * (1 << DEPTH)))
+    grid = Written(placed.withColumns({"fa": fine("clat").cast("long"), "fb": fine("clon").cast("long")}), "cells")
+    square = lambda x, y: x * x + y * y
+    off = lambda v, low, high: F.greatest(F.col(low) - v, v - F.col(high), F.lit(0.0))
+    reach = lambda v, low, high: F.greatest(F.abs(F.col(low) - v), F.abs(F.col(high) - v))
+    left = asked.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "bound": F.lit(float("inf"))})
+    found, written = [], []
+    for level in range(STRIDE, DEPTH + 1, STRIDE):
+        up = DEPTH - level
+        own = grid.table.withColumns({"ca": F.shiftright("fa", up), "cb": F.shiftright("fb", up)})
+        tiles = own.groupBy("ca", "cb").agg(F.count("*").alias("n"), *(f(c).alias(f"{n}_{c}") for c in ("clat", "clon") for n, f in (("low", F.min), ("high", F.max))))
+        tiles = tiles.withColumns({"a": F.shiftright("ca", STRIDE), "b": F.shiftright("cb", STRIDE)})
+        met = left.join(F.broadcast(tiles) if 4**level <= TINY else tiles, ["a", "b"])  # 4 ** level tiles at most
+        met = met.withColumns({"least": square(off(F.col("lat"), "low_clat", "high_clat"), off(F.col("lon"), "low_clon", "high_clon")), "most": square(reach(F.col("lat"), "low_clat", "high_clat"), reach(F.col("lon"), "low_clon", "high_clon"))})
+        met = met.withColumn("bound", F.least("bound", F.min("most").over(Window.partitionBy("point_id"))))  # a few tiles a point
+        kept = Written(met.filter(F.col("least") <= F.col("bound") * (1 + 1e-12)).select("point_id", "lat", "lon", F.col("ca").alias("a"), F.col("cb").alias("b"), "n", "bound"), "tiles")
+        written.append(kept)
+        near = kept.table.filter(F.col("n") <= FEW) if level < DEPTH else kept.table
+        d2 = square(F.col("clat") - F.col("lat"), F.col("clon") - F.col("lon"))
+        found.append(near.select("point_id", "lat", "lon", F.col("a").alias("ca"), F.col("b").alias("cb")).join(own, ["ca", "cb"]).groupBy("point_id").agg(F.min(F.struct(d2.alias("d2"), "i", "j")).alias("x")))
+        left = kept.table.filter(F.col("n") > FEW).drop("n")
+        if level < DEPTH and left.isEmpty():
+            break
+    best = Written(reduce(DataFrame.unionByName, found).groupBy("point_id").agg(F.min("x").alias("x")), "nearest")
+    for w in (grid, *written):
+        w.drop()
+    return best.table.select("point_id", "x.i", "x.j", F.sqrt("x.d2").alias("degrees"))
+
+
+def nearest_ocean_anywhere(points: DataFrame, cells: DataFrame) -> DataFrame:
     """Each point's nearest ocean cell, however far."""
-    return nearest_cells(points, cells.filter("not is_land"), tile).select("point_id", "i", "j")
+    return nearest_cells(points, cells.filter("not is_land")).select("point_id", "i", "j")
 
 
-def nearest_resample(source: DataFrame, target: DataFrame, tile: float = 1.0) -> DataFrame:
+def nearest_resample(source: DataFrame, target: DataFrame) -> DataFrame:
     """``source`` (i, j, lat, lon, value) at the cells of ``target`` (i, j, lat, lon)."""
     ids = target.select(F.struct("i", "j").alias("point_id"), "lat", "lon")
-    met = nearest_cells(ids, source, tile).select("point_id", F.col("i").alias("_i"), F.col("j").alias("_j"))
+    met = nearest_cells(ids, source).select("point_id", F.col("i").alias("_i"), F.col("j").alias("_j"))
     values = source.select(F.col("i").alias("_i"), F.col("j").alias("_j"), "value")
     return met.join(values, ["_i", "_j"]).select("point_id.i", "point_id.j", "value")
 

@@ -301,7 +301,7 @@ def _scattered(spark: SparkSession) -> DataFrame:
     f"WITH {t.POINTS}, {_SCATTERED}, d AS (SELECT point_id, i, j, row_number() OVER (PARTITION BY point_id ORDER BY (s.lat - p.lat) * (s.lat - p.lat) + (s.lon - p.lon) * (s.lon - p.lon), i, j) AS r FROM points p, scattered s) SELECT point_id, i, j FROM d WHERE r = 1",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.nearest_cells(t.points(spark, d), _scattered(spark), 4.0).select("point_id", "i", "j")
+    return alignment.nearest_cells(t.points(spark, d), _scattered(spark)).select("point_id", "i", "j")
 
 
 @_query(
@@ -311,7 +311,7 @@ d AS (SELECT g.i, g.j, s.i * 100 + s.j AS value, row_number() OVER (PARTITION BY
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     source = _scattered(spark).withColumn("value", F.col("i") * 100 + F.col("j"))
-    return alignment.nearest_resample(source, grid.grid_cells(spark, grid.GridAxes(20, 30, 65.0, 80.0, 0.0, 160.0)), 4.0)
+    return alignment.nearest_resample(source, grid.grid_cells(spark, grid.GridAxes(20, 30, 65.0, 80.0, 0.0, 160.0)))
 
 
 _ALIGNED = f"""a AS (SELECT c.i, c.j, coalesce(CASE WHEN c.lat BETWEEN 65 AND 80 AND c.lon BETWEEN 0 AND 160 THEN s.i * 80 + s.j END, 0)::DOUBLE AS value FROM (SELECT *, greatest(0, least(39, ceil((lat - 65e0) / (15e0 / 39) - 5e-1)))::BIGINT AS si, greatest(0, least(79, ceil((lon - 0e0) / (160e0 / 79) - 5e-1)))::BIGINT AS sj FROM cells) c
@@ -360,7 +360,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT point_id, i, j, row_number() OVER (PARTITION BY point_id ORDER BY (clat - lat) * (clat - lat) + (clon - lon) * (clon - lon), i, j) AS r FROM points, g) SELECT point_id, i, j FROM m WHERE r = 1""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return alignment.nearest_ocean_anywhere(t.points(spark, d), grid.demo_grid(spark), 4.0)
+    return alignment.nearest_ocean_anywhere(t.points(spark, d), grid.demo_grid(spark))
 
 
 @_query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import block_search, cost, grid, suite
+from .operators import alignment, block_search, cost, grid, suite
 from .plans import domain_tables as t
 from .registry import _AT, _DENSITY, GOAL, START, _demo_density, _query, _r
 from .registry_suite import SCENARIOS, scenarios
@@ -74,3 +74,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     fields = t.cells(spark, d).filter(passable).select(F.lit("wide").alias("run_id"), "i", "j", (1 + F.col("wave") / 2 + 4 * F.coalesce("sic", F.lit(0.0))).alias("cost"))
     runs = fields.select("run_id").distinct().select("run_id", F.lit(0).alias("start_i"), F.lit(1).alias("start_j"), F.lit(20).alias("goal_i"), F.lit(341).alias("goal_j"))
     return _costs(fields, runs, 64)
+
+
+@_query(
+    "r03_density_resample",
+    f"""WITH {_DENSITY}, s AS (SELECT i, j, lat AS clat, 0 + j * (160e0 / 79) AS clon, n FROM c9 WHERE NOT is_land), tg AS (SELECT id // 30 AS i, id % 30 AS j, 62 + (id // 30) * (20e0 / 19) AS lat, -8 + (id % 30) * (176e0 / 29) AS lon FROM (SELECT unnest(range(600)) AS id))
+SELECT tg.i, tg.j, n AS value FROM tg JOIN s ON true QUALIFY row_number() OVER (PARTITION BY tg.i, tg.j ORDER BY (clat - lat) * (clat - lat) + (clon - lon) * (clon - lon), s.i, s.j) = 1""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    source = _demo_density(spark, d).filter("not is_land").select("i", "j", "lat", "lon", F.col("n").alias("value"))
+    return alignment.nearest_resample(source, grid.grid_cells(spark, grid.GridAxes(20, 30, 62.0, 82.0, -8.0, 168.0)))

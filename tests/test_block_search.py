@@ -49,3 +49,24 @@ def test_no_runs_and_a_grid_of_many_blocks(spark):
     want = search.search_routes(cells, run).collect()
     assert route_cost(got) == pytest.approx(route_cost(want), rel=1e-12) and len(got) > 500
     assert block_search.search_blocks(cells, run.filter("false"), 32).count() == 0
+
+
+def test_nearest_cells_equal_brute_force_near_and_far(spark, monkeypatch):
+    from icewake.operators import alignment
+
+    monkeypatch.setattr(alignment, "FEW", 3)
+    rng = np.random.default_rng(12)
+    spots = [(float(a), float(b)) for a, b in zip(rng.uniform(65, 80, 300), rng.uniform(0, 160, 300), strict=True)]
+    spots += [(72.0 + float(x) * 1e-4, 40.0 + float(y) * 1e-4) for x, y in rng.integers(0, 9, (200, 2))]  # crowded, with repeated places
+    spots += [(-60.0, -170.0), (-60.0, -170.0)]
+    cells = [(k // 20, k % 20, *s) for k, s in enumerate(spots)] + [(99, 0, None, 1.0), (99, 1, float("nan"), 1.0)]
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-89, 89, 150), rng.uniform(-180, 180, 150), strict=True))]
+    points += [(1000 + k, 72.0 + float(x) * 1e-4, 40.0) for k, x in enumerate(rng.uniform(-1, 10, 40))] + [(2000, 72.0, 40.0)]
+    asked = spark.createDataFrame([*points, (3000, None, 1.0), (3001, float("nan"), 1.0)], "point_id long, lat double, lon double")
+    grid = spark.createDataFrame(cells, "i long, j long, lat double, lon double")
+    got = {r["point_id"]: (r["i"], r["j"]) for r in alignment.nearest_cells(asked, grid).collect()}
+    want = {p: min(((c[2] - lat) * (c[2] - lat) + (c[3] - lon) * (c[3] - lon), c[0], c[1]) for c in cells[:-2])[1:] for p, lat, lon in points}
+    assert got == want
+    assert alignment.nearest_cells(asked, grid.filter("i = 99")).count() == 0
+    one = alignment.nearest_cells(asked, grid.filter("i = 0 and j = 0"))
+    assert one.count() == len(points) and one.select("i", "j").distinct().count() == 1

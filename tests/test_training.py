@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from icewake import registry
-from icewake.operators import checks, density, grid, planning, records, training
+from icewake.operators import checks, density, encounters, grid, planning, records, training
 
 SF = "/root/testdata/sf0.001"
 NAN, INF = float("nan"), float("inf")
@@ -73,9 +73,8 @@ def test_records_without_what_they_need_go(spark):
 def test_two_ships_that_meet_make_risk(spark):
     rows = [(1, "2024-12-01 00:00:00", 70.0, 10.0, 10.0, 90.0), (2, "2024-12-01 00:00:00", 70.0, 10.1, 10.0, 270.0)]
     p = spark.createDataFrame(rows, "mmsi long, ts string, lat double, lon double, sog double, cog double").selectExpr("mmsi", "to_timestamp(ts) as ts", "lat", "lon", "sog", "cog")
-    met = records.encounters(p).collect()
+    met = encounters.interaction(encounters.pairs(p), 5.0, 0.5).collect()
     assert len(met) == 1 and met[0]["risk"] == pytest.approx(1.0) and met[0]["pairs"] == 1
-    assert records.encounters(p.limit(0)).count() == 0
 
 
 def test_profiles_plan_the_demonstration_voyage(spark):
@@ -89,18 +88,6 @@ def test_training_draw_and_resamples(spark):
     drawn = training.sampled_cells(ocean.filter("i = 0"), ocean)
     assert {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()} == {1: 20, 0: 100}
     assert drawn.groupBy("i", "j").count().filter("count > 1").count() == 0
-    weights = training.bootstrap_counts(spark.range(2000).withColumnRenamed("id", "k"), "k", 5).groupBy("draw").avg("weight").collect()
-    assert len(weights) == 5 and all(abs(r["avg(weight)"] - 1) < 0.1 for r in weights)
-
-
-def test_area_under_the_curve_equals_counting_pairs(spark):
-    rng = np.random.default_rng(4)
-    rows = [(float(a), float(b), int(c)) for a, b, c in zip(rng.random(80), 6 * rng.random(80), rng.integers(0, 2, 80))]
-    got = training.auc_grid(spark.createDataFrame(rows, "sic double, wave double, label int"), [(1.0, 1.0)], buckets=1_000_000).first()["auc"]
-    score = np.array([a + b / 6 for a, b, _ in rows])
-    label = np.array([c for *_, c in rows]) == 1
-    d = score[label][:, None] - score[~label][None]
-    assert got == pytest.approx(((d > 0) + 0.5 * (d == 0)).mean(), abs=1e-6)
 
 
 def test_traffic_component_without_density_adds_nothing(spark):
