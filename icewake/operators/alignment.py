@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import finite
 from ..sources.scratch import Written
 from .density import normalised, points_to_cells
-from .grid import GridAxes
+from .grid import GridAxes, index_resample
 
 DEPTH = 16  # halvings of each axis from all cells to the finest tiles
 STRIDE = 2  # halvings from a level of tiles to the next
@@ -98,3 +98,24 @@ def visited_cells(points: DataFrame, axes: GridAxes, cells: DataFrame) -> DataFr
 def unvisited_cells(visited: DataFrame, cells: DataFrame) -> DataFrame:
     """Ocean cells without a visit: candidates of the negative class."""
     return cells.filter("not is_land").select("i", "j").join(visited, ["i", "j"], "left_anti")
+
+
+def mask_for(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """i, j, is_land and the rung of the chain that gave it, for ``cells`` (i, j, lat, lon), from a mask (i, j, lat, lon, is_land).
+
+    A mask of the same shape counts cell by cell; one of another shape that has positions by the nearest cell; one
+    without positions by rounded index.  One row of extents decides, for all cells alike.
+    """
+    shape = [F.max("i").alias("i"), F.max("j").alias("j")]
+    own, other = cells.agg(*shape).first(), mask.agg(*shape, F.count_if(finite("lat").isNotNull() & finite("lon").isNotNull()).alias("placed"), F.count("*").alias("n")).first()
+    value = mask.withColumn("value", F.col("is_land").cast("int"))
+    target = cells.select("i", "j")
+    if other["n"] == 0 or own["i"] is None:
+        return target.select("i", "j", F.lit(False).alias("is_land"), F.lit("no_mask").alias("rung"))
+    if (own["i"], own["j"]) == (other["i"], other["j"]):
+        rung, found = "same_shape", value.select("i", "j", "value")
+    elif other["placed"] == other["n"]:
+        rung, found = "nearest", nearest_resample(value.select("i", "j", "lat", "lon", "value"), cells)
+    else:
+        rung, found = "index", index_resample(value.select("i", "j", "value"), (other["i"] + 1, other["j"] + 1), (own["i"] + 1, own["j"] + 1))
+    return target.join(found, ["i", "j"], "left").select("i", "j", (F.coalesce("value", F.lit(0)) == 1).alias("is_land"), F.lit(rung).alias("rung"))

@@ -40,10 +40,18 @@ def sampled_cells(positive: DataFrame, ocean: DataFrame, ratio: float = 3.0, lea
 
 
 def export_frame(cells: DataFrame, labels: DataFrame, features: list[str], month: int = 8, day: int = 220, vessel_class: int = 1) -> DataFrame:
-    """The training table: features of labelled cells with the constants of the export."""
+    """The training table: features of labelled cells with the constants of the export."""
     return frame(cells, features, month, vessel_class).join(labels.select("i", "j", "label"), ["i", "j"]).withColumn("day", F.lit(day))
 
 
+def full_export(cells: DataFrame, labels: DataFrame, features: list[str], path: str, month: int = 8, day: int = 220, vessel_class: int = 1) -> DataFrame:
+    """Writes the training table as Parquet and reads it back; a missing layer or value is 0."""
+    table = export_frame(cells, labels, features, month, day, vessel_class)
+    whole = table.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in features})
+    whole.write.mode("errorifexists").option("compression", "snappy").parquet(path)
+    return cells.sparkSession.read.schema(whole.schema).parquet(path)
+
+
 def fixed_weights(rows: int, columns: int, layer: int) -> list[list[float]]:
     """An untrained layer: values within the Xavier bound, from a rule in place of a random state."""
     bound = sqrt(6.0 / (rows + columns))
