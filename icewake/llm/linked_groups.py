@@ -1,7 +1,7 @@
 """Links within groups of rows that may be alike, without emitting all pairs of a group.
 
 Whatever finds candidates (a Hamming table, a bucket of fingerprints) leaves rows ``(key, id)``: ids under
-one key may be linked.  In turns, all ids under a key are compared with a few leaders of it, at first one, then ``GROWTH``
+one key may be linked.  In turns, all ids under a key are compared with a few leaders of it, at first one, then another one, then ``GROWTH``
 times as many each turn.  Links join ids into classes; a key whose ids are of one class is done, which is most of
 them after the first turn, however many ids they hold.  A leader has met all others of its key and leaves it.  Only where few pairs
 of different classes are left, or leaders have become very many, all ids under one key that are still in different
@@ -23,7 +23,7 @@ from .common import discard, materialise
 from .components import connected_components
 
 PAIRS_A_ROW = 4  # pairs between classes, for each row of the groups, that are few
-GROWTH = 8  # times as many leaders a turn
+GROWTH = 4  # times as many leaders a turn, from the third on
 LEADERS = 512  # of a key in one turn, at most
 
 
@@ -57,7 +57,7 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
         apart = materialise(rooted.join(split, "key", "left_semi"), "apart")  # ids of a key that are of one class stay so
         discard(roots, together, rooted, written, leaders)
         placed = written = apart
-        count *= GROWTH
+        count *= GROWTH if len(links) > 1 else 1
         if apart.isEmpty():
             break
     discard(*tried, written)
