@@ -49,10 +49,9 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
         links.append(materialise(verified(tried[-1]).dropDuplicates(["low", "high"]).select("a", "b"), "links"))
         if every or rows == 0:
             break
-        left = placed.drop("root").join(leaders.select("key", "id"), ["key", "id"], "left_anti")
         together = materialise(_union(links), "all_links")
         roots = connected_components(together)
-        rooted = materialise(_rooted(left, roots), "rooted")  # read twice
+        rooted = materialise(_rooted(placed.drop("root"), leaders, roots), "rooted")  # read twice
         split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
         apart = materialise(rooted.join(split, "key", "left_semi"), "apart")  # ids of a key that are of one class stay so
         discard(roots, together, rooted, written, leaders)
@@ -68,12 +67,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, frames)
 
 
-def _rooted(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """``met`` with the root of each id, itself where it has none; an id is under a bounded number of keys."""
-    known = roots.select(F.col("node").alias("id"), "root")
-    both = met.withColumn("root", F.lit(None).cast("long")).unionByName(known, allowMissingColumns=True)
-    spread = both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("id")), "id"))
-    return spread.filter("key is not null").select(*met.columns, "root")
+def _rooted(met: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
+    """``met`` without the leaders of its keys, with the root of each id, itself where it has none; an id is under a bounded number of keys."""
+    known = roots.select(F.col("node").alias("id"), "root", F.lit(1).alias("tag"))
+    led = leaders.select("key", "id", F.lit(2).alias("tag"))
+    both = met.withColumns({"root": F.lit(None).cast("long"), "tag": F.lit(0)}).unionByName(known, allowMissingColumns=True).unionByName(led, allowMissingColumns=True)
+    root = F.coalesce(F.max("root").over(Window.partitionBy("id")), "id")
+    spread = both.withColumns({"root": root, "led": F.max("tag").over(Window.partitionBy("id", "key"))})
+    return spread.filter("tag = 0 and led = 0").select(*met.columns, "root")
 
 
 def _crossing(apart: DataFrame) -> int:
