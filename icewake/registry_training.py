@@ -296,7 +296,7 @@ _POISSON = " + ".join(f"(u > {sum(0.36787944117144233 / factorial(j) for j in ra
 g AS (SELECT sic, wave, y, v, sum({_POISSON})::DOUBLE AS w FROM u GROUP BY sic, wave, y, v), e AS (SELECT (19 + a) / 1e1 AS p, (9 + b) / 1e1 AS q FROM (SELECT unnest(range(3)) AS a), (SELECT unnest(range(3)) AS b)),
 r AS MATERIALIZED (SELECT p, q, v, pow(sic, p) AS x1, pow(wave, q) AS x2, y, w, w AS tw FROM g, e WHERE w > 0), {_newton('p, q, v')},
 best AS (SELECT v, p, q FROM area QUALIFY row_number() OVER (PARTITION BY v ORDER BY -round(auc, 9), p, q) = 1)
-SELECT quantile_cont(p, 0.025) AS p_low, quantile_cont(p, 0.975) AS p_high, quantile_cont(q, 0.025) AS q_low, quantile_cont(q, 0.975) AS q_high, count(*) AS draws FROM best""",
+SELECT round(quantile_cont(p, 0.025), 6) AS p_low, round(quantile_cont(p, 0.975), 6) AS p_high, round(quantile_cont(q, 0.025), 6) AS q_low, round(quantile_cont(q, 0.975), 6) AS q_high, count(*) AS draws FROM best""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = logistic.intervals(_labelled(spark, d), "id", 2.0, 1.0, draws=20, reach=1)
