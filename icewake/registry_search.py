@@ -12,11 +12,12 @@ from .registry_suite import SCENARIOS, scenarios
 from .registry_training import _fields
 
 # Relaxation over f (run_id, i, j, cost) from and to the cells of runs (run_id, si, sj, gi, gj).
-_RELAX = """d(run_id, i, j, d) USING KEY (run_id, i, j) AS (SELECT run_id, si, sj, 0e0 FROM runs JOIN f USING (run_id) WHERE f.i = si AND f.j = sj
+_DISTANCES = """d(run_id, i, j, d) USING KEY (run_id, i, j) AS (SELECT run_id, si, sj, 0e0 FROM runs JOIN f USING (run_id) WHERE f.i = si AND f.j = sj
 UNION SELECT f.run_id, f.i, f.j, min(p.d + sqrt((s.di * s.di + s.dj * s.dj)::DOUBLE) * f.cost) AS d FROM d p
  JOIN (SELECT unnest([-1, -1, -1, 0, 0, 1, 1, 1]) AS di, unnest([-1, 0, 1, -1, 1, -1, 0, 1]) AS dj) s ON true JOIN f ON f.run_id = p.run_id AND f.i = p.i + s.di AND f.j = p.j + s.dj
  LEFT JOIN recurring.d r ON r.run_id = f.run_id AND r.i = f.i AND r.j = f.j
- GROUP BY f.run_id, f.i, f.j, r.d HAVING min(p.d + sqrt((s.di * s.di + s.dj * s.dj)::DOUBLE) * f.cost) < coalesce(r.d, 'inf'::DOUBLE))
+ GROUP BY f.run_id, f.i, f.j, r.d HAVING min(p.d + sqrt((s.di * s.di + s.dj * s.dj)::DOUBLE) * f.cost) < coalesce(r.d, 'inf'::DOUBLE))"""
+_RELAX = f"""{_DISTANCES}
 SELECT run_id, round(d, 6) AS search_cost FROM d JOIN runs USING (run_id) WHERE i = gi AND j = gj"""
 _PROFILES = """pf AS (SELECT * FROM (VALUES ('efficient', 5e-1, 5e-1, 3e-1, 0e0), ('safe', 2e0, 15e-1, 1e0, 0e0), ('robust', 2e0, 15e-1, 1e0, 1e0)) p(mode, fi, fw, fr, fu)),
 pc AS (SELECT mode, i, j, 1e0 + fi * CASE WHEN lat >= 75 THEN 4e0 ELSE 0e0 END + fw * ((i * 7 + j * 11) % 31 / 30e0) + fr * ((i * 7 + j * 11) % 17 / 16e0) + fu * ((i * 7 + j * 11) % 101 / 100e0) AS cost FROM c9, pf WHERE NOT is_land)"""
