@@ -477,7 +477,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import registry_evaluation, registry_layers, registry_planner, registry_search, registry_suite, registry_training  # noqa: F401  they register their queries here
+    from . import registry_evaluation, registry_layers, registry_planner, registry_readers, registry_search, registry_suite, registry_training  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
