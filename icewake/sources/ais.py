@@ -121,10 +121,10 @@ def read_evaluation(spark: SparkSession, path: str | list[str], numbers: list[st
 
 
 def from_variant(rows: DataFrame) -> DataFrame:
-    """Standard points of one variant column ``v``; properties and coordinates of GeoJSON count as fields."""
-    fields = rows.selectExpr("cast(coalesce(try_variant_get(v, '$.properties', 'variant'), v) as map<string, variant>) as m", "v")
+    """Standard points of one variant column ``v``; properties and coordinates of GeoJSON count as fields; what is no object has none."""
+    fields = rows.selectExpr("coalesce(try_variant_get(v, '$.properties', 'map<string, variant>'), try_variant_get(v, '$', 'map<string, variant>')) as m", "v")
     lower = fields.withColumn("m", F.transform_keys("m", lambda k, _: F.lower(k)))
-    pick = lambda names: F.coalesce(*(F.expr(f"cast(try_element_at(m, '{n}') as string)") for n in names))
+    pick = lambda names: F.coalesce(*(F.expr(f"try_variant_get(try_element_at(m, '{n}'), '$', 'string')") for n in names))
     flat = lower.select(*(pick(v).alias(k) for k, v in CANDIDATES.items()), "v")
     lon, lat = (F.expr(f"try_variant_get(v, '$.geometry.coordinates[{k}]', 'string')") for k in (0, 1))
     return standard_points(flat.withColumns({"lat": F.coalesce("lat", lat), "lon": F.coalesce("lon", lon)}).drop("v"))
