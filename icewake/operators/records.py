@@ -95,8 +95,8 @@ def waypoints(legs: DataFrame, ports: DataFrame, known: DataFrame) -> DataFrame:
     """Way points of a leg (a, b) by its a-b key, or its two ports where none are predefined."""
     start = ports.select(F.col("port").alias("a"), F.struct("lat", "lon").alias("pa"))
     end = ports.select(F.col("port").alias("b"), F.struct("lat", "lon").alias("pb"))
-    keyed = legs.join(F.broadcast(start), "a").join(F.broadcast(end), "b").withColumn("key", F.concat_ws("-", "a", "b"))  # ports are a fixed short list
-    return keyed.join(F.broadcast(known.select("key", "points")), "key", "left").select("a", "b", F.coalesce("points", F.array("pa", "pb")).alias("points"))
+    keyed = legs.join(start, "a").join(end, "b").withColumn("key", F.concat_ws("-", "a", "b"))
+    return keyed.join(known.select("key", "points"), "key", "left").select("a", "b", F.coalesce("points", F.array("pa", "pb")).alias("points"))
 
 
 def base_conditions(lat: Column, month: Column) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import planner
+from .operators import planner, search
 from .operators.fleet import VESSEL_TYPES
 from .operators.planner import COMPONENTS
 from .plans import domain_tables as t
@@ -91,6 +91,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _plans(spark, d, SCENARIOS, (1.0, 1.0, 1.0))
 
 
+SWEEP = [(f"corridor {w:g}", *START, *GOAL, True, 1.0, 2.0, w, 0.0, "panamax") for w in (0.0, 4.0, 8.0)]
+
+
+def _walked(rows: list[tuple], select: str) -> str:
+    """The same up to the way back, then ``select`` over ``back``, whose n counts from the goal."""
+    return f"{_sql(rows, (1.0, 1.0, 1.0)).split(chr(10) + 'st AS (')[0].rstrip(',')} {select}"
+
+
+def _steps(spark: SparkSession, d: str, rows: list[tuple]) -> DataFrame:
+    return planner.plan(_cells(spark, d), planner.request_table(spark, _requests(rows)), size=32)[1].filter("seq >= 0")
+
+
+@_query("g02_route_steps", _walked(VOYAGE, "SELECT run_id, max(n) OVER (PARTITION BY run_id) - n AS seq, i, j, round(cost, 6) AS step_cost FROM back JOIN f USING (run_id, i, j)"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _steps(spark, d, VOYAGE).select("run_id", "seq", "i", "j", _r("step_cost", "step_cost"))
+
+
+@_query("g07_path_changes", _walked(SWEEP, ", b AS (SELECT run_id, list((i, j) ORDER BY n) AS path FROM back GROUP BY run_id) SELECT run_id, path <> (SELECT path FROM b WHERE run_id = 'corridor 0/efficient') AS path_changed FROM b"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return search.path_changes(_steps(spark, d, SWEEP), "corridor 0/efficient")
+
+
 _REASONS = ("", "no_ice_layer", "no_layers", "no_mask", "shape_mismatch")
 
 
