@@ -1,18 +1,23 @@
 """Licence scan: a trained paragraph classifier, confirmed by template comparison.
 
-A sparse logistic regression over word 1-, 2- and 3-grams gives every paragraph (line) of every document
+A sparse logistic regression over word 1-, 2- and 3-grams gives every paragraph of every document
 a probability for each licence family and for ``unknown``.  It is trained here on variants of the notice
 templates below (fields filled in, words dropped, context added, halves quoted) against ordinary
 paragraphs; one variant in five is held out, and a temperature fitted on those calibrates the
 probabilities.  A paragraph whose likeliest class is a family with probability of ``CONFIDENCE`` or more
 is a finding; it is confirmed when it shares enough word pairs with a template of that family.
 
-Words that no template holds have no weight, so texts are looked through at dictionary speed and only
-paragraphs with a known word pair are scored; all others have the same, unknown, result.
+A paragraph is a run of lines that ends at a line without words or where a line ends a sentence, so that a
+notice wrapped over lines is scored whole.  One of more than ``WINDOW`` words is scored in overlapping windows,
+of which the surest finding counts.  If a paragraph of several lines has no finding, its lines are scored one by
+one, as the declaration in a list of settings may be one of them.  Every paragraph with a word of the templates
+is scored; words that no template holds have no weight, so one without any is unknown whatever it says.
+
 At most ``SAMPLE_DOCS`` documents, those of smallest id hash, give paragraphs of the unknown class.
 
-Defined results: null and empty texts have no findings; repeated rows repeat their findings; paragraphs
-number from 0 by line breaks; an empty table gives an empty table; other columns are ignored.
+Defined results: null and empty texts have no findings; repeated rows repeat their findings; a paragraph is
+numbered by its first line, from 0; of equal probabilities the family listed first and the first window count;
+an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,8 @@ SAMPLE_DOCS = 1500
 SAMPLE_LINES = 20  # of each
 SAMPLE_CHARS = 600  # of each line
 VARIANTS = 60
+WINDOW = 96  # words that are scored together; windows start at every half of it
+AT_ONCE = 100_000  # words that a task scores in one step
 
 # fixed values: wording that public licence notices use
 TEMPLATES: dict[str, list[str]] = {
@@ -121,14 +129,47 @@ NEAR_MISSES = [
     "The Apache people lived in the southwest, a film about them was released.",
     "She studied at MIT and later licensed her patent to a company.",
     "Redistribution of wealth in binary or other forms is debated.",
+    "Er geht mit dem Hund in die Stadt.",
+    "mit",
+    "Sie kam mit einem Zug.",
+    "Version 2.0",
+    "license",
+    "or later",
 ]
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32 for c in range(256))
 
 
-def paragraphs(text: str) -> list[list[bytes]]:
-    """Lower-cased words of every line."""
-    return [line.split() for line in text.encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")]
+# a bare declaration, after the identifier that each family's last template states
+for _texts in TEMPLATES.values():
+    _texts.append("License: " + _texts[-1].removeprefix("SPDX-License-Identifier: "))
+
+
+def _words(line: bytes) -> list[bytes]:
+    return line.translate(_FOLD).split()
+
+
+def paragraphs(text: str) -> list[list[tuple[int, list[bytes]]]]:
+    """Lines, as number and lower-cased words, of every paragraph."""
+    found: list[list[tuple[int, list[bytes]]]] = []
+    going = False
+    for k, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        words = _words(line)
+        if words:
+            if not going:
+                found.append([])
+            found[-1].append((k, words))
+        going = bool(words) and not line.rstrip(b" \t\r\"'*/)").endswith((b".", b"!", b"?"))
+    return found
+
+
+def _joined(lines: list[tuple[int, list[bytes]]]) -> list[bytes]:
+    return [w for _, words in lines for w in words]
+
+
+def windows(words: list[bytes]) -> list[list[bytes]]:
+    """Overlapping parts of at most WINDOW words; all words together, if they are no more."""
+    return [words[s : s + WINDOW] for s in range(0, max(len(words) - WINDOW // 2, 1), WINDOW // 2)]
 
 
 def _grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -138,41 +179,74 @@ def _grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
 @dataclass
 class LicenseModel:
     families: list[str]
-    known: frozenset[bytes]
-    pairs: dict[tuple[bytes, ...], int]  # every gram of the templates -> row of weight
+    grams: dict[tuple[bytes, ...], int]  # every gram of the templates -> row of weight
     weight: np.ndarray
     bias: np.ndarray
     temperature: float
     templates: dict[str, list[set[tuple[bytes, ...]]]]
 
-    def probabilities(self, words: list[bytes]) -> np.ndarray:
-        at = [self.pairs[g] for g in _grams(words) if g in self.pairs]
-        z = (self.bias + self.weight[at].sum(axis=0) / np.sqrt(max(len(at), 1))) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    def __post_init__(self) -> None:
+        """Number the words, and for each length of gram keep its sorted codes and their rows."""
+        self.number = {w: k for k, w in enumerate(sorted({w for g in self.grams for w in g}))}
+        self.codes = []
+        for n in (1, 2, 3):
+            coded = sorted((self._code([self.number[w] for w in g]), row) for g, row in self.grams.items() if len(g) == n)
+            self.codes.append((np.array([c for c, _ in coded], dtype=np.int64), np.array([r for _, r in coded], dtype=np.int64)))
+
+    def _code(self, numbers):
+        code = numbers[0]
+        for x in numbers[1:]:
+            code = code * len(self.number) + x
+        return code
+
+    def probabilities(self, units: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Class probabilities of each list of words, and whether it holds a known word."""
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        words = np.fromiter(map(self.number.get, chain.from_iterable(units), repeat(-1)), dtype=np.int64, count=int(sizes.sum()))
+        owner = np.repeat(np.arange(len(units)), sizes)
+        found = []
+        for n, (codes, rows) in enumerate(self.codes, 1):
+            starts = max(len(words) - n + 1, 0)
+            parts = [words[k : k + starts] for k in range(n)]
+            at = np.flatnonzero((np.min(parts, axis=0) >= 0) & (owner[:starts] == owner[n - 1 : n - 1 + starts]))
+            code = self._code([p[at] for p in parts])
+            place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[place] == code
+            found.append(owner[at[hit]] * len(self.weight) + rows[place[hit]])
+        owner, row = np.divmod(np.unique(np.concatenate(found)), len(self.weight))  # a gram counts once
+        z = np.zeros((len(units), len(self.families)))
+        known, first, n = np.unique(owner, return_index=True, return_counts=True)
+        if len(known):
+            z[known] = np.add.reduceat(self.weight[row], first, axis=0) / np.sqrt(n)[:, None]
+        z = (z + self.bias) / self.temperature
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True), np.isin(np.arange(len(units)), known)
 
     def similarity(self, words: list[bytes], family: str) -> float:
         """Largest share of a template's word pairs, or of the paragraph's, that both have."""
         own = {g for g in _grams(words) if len(g) == 2}
         return max((len(own & t) / min(len(t), max(len(own), 4)) for t in self.templates.get(family, [])), default=0.0)
 
-    def finding(self, words: list[bytes]) -> tuple[str, float, float] | None:
-        if len(words) < 2 or self.known.isdisjoint(words):
-            return None
-        if not any((a, b) in self.pairs for a, b in zip(words, words[1:]) if a in self.known):
-            return None
-        p = self.probabilities(words)
-        best = int(p.argmax())
-        if best == 0 or p[best] < CONFIDENCE:
-            return None
-        return self.families[best], float(p[best]), self.similarity(words, self.families[best])
+    def findings(self, texts: list[list[bytes]]) -> list[tuple[str, float, float] | None]:
+        """Family, probability and similarity of each text's surest window, None where that is unknown."""
+        parts = [windows(words) for words in texts]
+        p, known = self.probabilities([w for part in parts for w in part])
+        best, sure = p.argmax(axis=1), p.max(axis=1)
+        sure[~known | (best == 0) | (sure < CONFIDENCE)] = -1
+        out, s = [], 0
+        for part in parts:
+            k = s + int(sure[s : s + len(part)].argmax())
+            family = self.families[best[k]]
+            out.append((family, float(sure[k]), self.similarity(part[k - s], family)) if sure[k] > 0 else None)
+            s += len(part)
+        return out
 
 
 def _variants(rng: random.Random, noise: list[list[bytes]]) -> Iterator[tuple[int, list[bytes]]]:
     """(family number, words) of altered templates and near misses."""
     for number, texts in enumerate([NEAR_MISSES, *TEMPLATES.values()]):
         for text in texts:
-            (words,) = paragraphs(text)
+            words = _words(text.encode())
             for k in range(VARIANTS if number else VARIANTS // 4):
                 w = list(words)
                 if k and len(w) > 12 and k % 3 == 0:
@@ -192,15 +266,15 @@ def fit(noise: list[list[bytes]], seed: int = 11) -> LicenseModel:
     rng = random.Random(seed)
     noise = noise or [[b"and", b"the", b"other", b"words"]]
     families = [UNKNOWN, *TEMPLATES]
-    templates = {f: [{g for g in _grams(paragraphs(t)[0]) if len(g) == 2} for t in texts] for f, texts in TEMPLATES.items()}
+    templates = {f: [{g for g in _grams(_words(t.encode())) if len(g) == 2} for t in texts] for f, texts in TEMPLATES.items()}
     like = set().union(*(t for ts in templates.values() for t in ts))
-    grams = sorted({g for texts in TEMPLATES.values() for t in texts for g in _grams(paragraphs(t)[0])})
-    pairs = {g: k for k, g in enumerate(grams)}
+    grams = sorted({g for texts in TEMPLATES.values() for t in texts for g in _grams(_words(t.encode()))})
+    number = {g: k for k, g in enumerate(grams)}
     # a sampled paragraph that quotes a template is no example of the unknown class
     plain = [w for w in noise if len({g for g in _grams(w) if len(g) == 2} & like) < 3]
     examples = [*_variants(rng, plain or noise), *((0, w) for w in plain)]
     rng.shuffle(examples)
-    rows = [[pairs[g] for g in _grams(w) if g in pairs] for _, w in examples]
+    rows = [[number[g] for g in _grams(w) if g in number] for _, w in examples]
     y = np.array([k for k, _ in examples])
     flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows])
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -237,7 +311,7 @@ def fit(noise: list[list[bytes]], seed: int = 11) -> LicenseModel:
         return float(-(importance[~train] * (s[np.arange(len(s)), y[~train]] - np.log(np.exp(s).sum(axis=1)))).mean())
 
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return LicenseModel(families, frozenset(w for g in grams for w in g), pairs, weight, bias, temperature, templates)
+    return LicenseModel(families, number, weight, bias, temperature, templates)
 
 
 def train(docs: DataFrame) -> LicenseModel:
@@ -245,9 +319,9 @@ def train(docs: DataFrame) -> LicenseModel:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null")
     # ids first, so that no text is sorted; a bounded table
     chosen = F.broadcast(own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct())
-    lines = own.join(chosen, "doc_id").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES)).alias("line", "text")).select("doc_id", "line", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    rows = sorted(lines.collect())  # for training only
-    return fit([w for r in rows for w in paragraphs(r["text"]) if len(w) >= 3])
+    lines = F.transform(F.slice(F.split("text", "\n"), 1, SAMPLE_LINES), lambda x: F.substring(x, 1, SAMPLE_CHARS))
+    rows = sorted(own.join(chosen, "doc_id").select("doc_id", F.array_join(lines, "\n").alias("text")).collect())  # for training only
+    return fit([w for r in rows for p in paragraphs(r["text"]) for w in windows(_joined(p)) if len(w) >= 3])
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
@@ -255,15 +329,26 @@ def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:
     small_batches(docs.sparkSession)
     schema = "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean"
 
+    def found(own: list[tuple[int, list[tuple[int, list[bytes]]]]]) -> list[tuple]:
+        whole = list(zip(own, model.findings([_joined(lines) for _, lines in own])))
+        single = [(doc, line) for (doc, lines), f in whole if f is None and len(lines) > 1 for line in lines]
+        rows = [(doc, lines[0][0], *f) for (doc, lines), f in whole if f is not None]
+        rows += [(doc, k, *f) for (doc, (k, _)), f in zip(single, model.findings([words for _, (_, words) in single])) if f is not None]
+        return [(*r, r[4] >= CONFIRMED) for r in rows]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
         for b in batches:
-            rows = []
+            rows, own, n = [], [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, words in enumerate(paragraphs(text or "")):
-                    if (found := model.finding(words)) is not None:
-                        rows.append((doc, k, *found, found[2] >= CONFIRMED))
+                for lines in paragraphs(text or ""):
+                    own.append((doc, lines))
+                    n += sum(len(words) for _, words in lines)
+                    if n > AT_ONCE:
+                        rows += found(own)
+                        own, n = [], 0
+            rows += found(own)
             if rows:
-                types = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

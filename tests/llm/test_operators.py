@@ -442,6 +442,85 @@ def test_op9_finds_notices_and_leaves_prose(spark, odd, none):
     assert license_scan.scan(none, model).count() == 0 and license_scan.scan(odd, license_scan.train(odd)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def licences():
+    rng = np.random.default_rng(8)
+    noise = [[b"w%d" % k for k in rng.integers(0, 500, 12)] for _ in range(40)]
+    return license_scan.fit([*noise, *(p.split() for p in (b"the river is wide and calm", b"she wrote a letter to the office", b"version 2 of the plan"))])
+
+
+def findings_by_brute_force(model, text):
+    """Every paragraph under the model alone, gram by gram in plain Python."""
+
+    def likeliest(words):
+        best = None
+        for s in range(0, max(len(words) - license_scan.WINDOW // 2, 1), license_scan.WINDOW // 2):
+            part = words[s : s + license_scan.WINDOW]
+            held = {model.grams[g] for g in {tuple(part[i : i + n]) for n in (1, 2, 3) for i in range(len(part) - n + 1)} if g in model.grams}
+            z = (model.bias + sum(model.weight[r] for r in held) / max(len(held), 1) ** 0.5) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            if held and p.argmax() and p.max() >= license_scan.CONFIDENCE and (best is None or p.max() > best[1] + 1e-12):
+                best = (model.families[int(p.argmax())], p.max())
+        return best
+
+    out, lines = [], []
+    for k, line in enumerate([*(text or "").split("\n"), ""]):
+        words = [w.encode() for w in re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))]
+        lines += [(k, words)] if words else []
+        if lines and (not words or re.search("[.!?][ \t\r\"'*/)]*$", line)):
+            whole = likeliest([w for _, ws in lines for w in ws])
+            out += [(lines[0][0], *whole)] if whole else [(n, *f) for n, ws in lines if len(lines) > 1 and (f := likeliest(ws))]
+            lines = []
+    return out
+
+
+def test_op9_equals_the_model_on_every_paragraph(spark, licences, real, monkeypatch):
+    monkeypatch.setattr(license_scan, "AT_ONCE", 300)
+    rng = np.random.default_rng(9)
+    known = sorted({w.decode() for g in licences.grams for w in g})
+    drawn = [" ".join(rng.choice([*known, "zebra", "plain", "\n", "\n", ".\n", "\n\n"], int(rng.integers(1, 300)))) for _ in range(60)]
+    texts = dict(enumerate([*ODD, *drawn, *list(real.values())[:40], "License: MIT", "Quoted MIT License.\n" * 3]))
+    rows = license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), licences).collect()
+    want = {(d, n): (f, p) for d, t in texts.items() for n, f, p in findings_by_brute_force(licences, t)}
+    got = {(r["doc_id"], r["paragraph"]): (r["family"], r["probability"]) for r in rows}
+    assert len(got) == len(rows) > 40 and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [v[1] for _, v in sorted(got.items())] == pytest.approx([v[1] for _, v in sorted(want.items())], abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    ("text", "family"),
+    [
+        ("License: MIT", "mit"),
+        ('"license": "MIT",', "mit"),
+        ('{\n "name": "x",\n "version": "2.0.0",\n "license": "ISC",\n "author": "the one"\n}', "isc"),
+        ("License: BSD-3-Clause", "bsd"),
+        ('license = "Apache-2.0"', "apache-2.0"),
+        (" * under the terms of the GNU General Public License,\n * version 3.", "gpl-3.0"),
+        ("w1 w2 w3 " * 400 + "this work is licensed under the MIT License " + "w4 w5 " * 400, "mit"),
+        ("mit", None),
+        ("Er geht mit dem Hund in die Stadt", None),
+        ("she studied at MIT", None),
+        ("version 2.0", None),
+        ("the general public", None),
+    ],
+)
+def test_op9_short_wrapped_and_long_paragraphs(licences, text, family):
+    found = [f for lines in license_scan.paragraphs(text) for f in licences.findings([license_scan._joined(lines)])]
+    found += [f for lines in license_scan.paragraphs(text) if found == [None] for _, words in lines for f in licences.findings([words])]
+    assert {f[0] for f in found if f} == ({family} if family else set())
+
+
+def test_op9_probabilities_are_calibrated(licences):
+    """Unseen variants of notices and of near misses: mean confidence is close to the share that is right."""
+    rng = license_scan.random.Random(77)
+    noise = [[b"w%d" % rng.randrange(500) for _ in range(12)] for _ in range(40)]
+    cases = [*license_scan._variants(rng, noise), *((0, w) for w in noise for _ in range(10))]
+    p, _ = licences.probabilities([w for _, w in cases])
+    right = p.argmax(axis=1) == [k for k, _ in cases]
+    unknown = np.array([k == 0 for k, _ in cases])
+    assert abs(p.max(axis=1).mean() - right.mean()) < 0.05 and right.mean() > 0.9 and right[unknown].mean() > 0.95
+
+
 def test_hilbert_index_walks_to_adjacent_cells():
     cells = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     key = hilbert_neighbours.hilbert_index(cells, 3)
