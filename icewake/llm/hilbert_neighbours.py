@@ -12,8 +12,8 @@ window is all rows, so no more distances are computed than by brute force, but f
 
 Identical vectors are one point with its smallest ids, as many as an answer can need, so no group of
 copies is ever large.  Defined results: vectors that are null, zero, or hold null or non-finite
-components, and rows without an id, take no part; distances need one length, that given or else the commonest,
-and vectors of another take no part; a repeated (id, vector) row counts once, an id with several vectors as several points, of
+components, and rows without an id, take no part; distances need one length: with one given, vectors
+of another take no part, and without, vectors of several lengths are an error; a repeated (id, vector) row counts once, an id with several vectors as several points, of
 which an answer names the nearest; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -103,8 +103,10 @@ def points(vectors: DataFrame, k: int, length: int | None = None) -> DataFrame:
         & F.exists("v", lambda x: x != 0)
     )
     if length is None:
-        sizes = usable.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").take(1)
-        length = sizes[0]["length"] if sizes else 0
+        sizes = sorted(r["length"] for r in usable.select(F.size("v").alias("length")).distinct().limit(10).collect())
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of several lengths ({sizes}): state the length of those that take part")
+        length = sizes[0] if sizes else 0
     # minus zero and zero are one value; the ranking drops all but k + 1 ids of a vector before the shuffle
     rows = usable.filter(F.size("v") == length).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0)).alias("v"))
     least = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)

@@ -102,7 +102,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest other vectors of every vector whose id is divisible by 100."""
-    return hilbert_neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+    return hilbert_neighbours.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10, length=64)
 
 
 def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
