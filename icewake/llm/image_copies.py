@@ -11,8 +11,7 @@ if ``CONSENSUS`` of these agree on one similarity transform.  Links make classes
 A group of bits is wide (51), so that unrelated corners hardly meet and candidates grow with the images.
 Groups of many copies are not expanded into pairs: images that meet in a table are first compared with the
 smallest of them, and after that only across the classes found so far, so that no link between classes
-is lost whatever a table's size.  A corner that very many images have (``COMMON``) makes no candidates of
-an image with fewer than ``CONSENSUS`` such corners: a link needs one more corner, which does.
+is lost whatever a table's size: images that meet at any corner are compared or in one class already.
 
 Byte-identical images are one image.  The brightness tests are the least correlated of a pool under an
 exponential model of image texture, so nothing is fitted and no sample is read.
@@ -51,7 +50,6 @@ NEAR = 32
 CONSENSUS = 5
 SLACK = 3.0  # pixels that a corner may lie off the transform
 HYPOTHESES = 32  # corners, evenly chosen, whose pairs propose transforms; all corners vote
-COMMON = 64  # images from which on a corner is a common one
 
 _POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("bits", "u1", BITS // 8), ("weak", "u1", TABLES)])  # weak: place of the least sure bit in each table
 
@@ -188,7 +186,7 @@ def described(images: DataFrame) -> DataFrame:
 
 
 def table_keys(found: DataFrame) -> DataFrame:
-    """``(key, image_id, corner)``: every corner under two values in each table; a clash of keys only adds a candidate."""
+    """``(key, image_id)``: every corner under two values in each table; a clash of keys only adds a candidate."""
     groups = table_bits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,30 +198,22 @@ def table_keys(found: DataFrame) -> DataFrame:
             together = np.concatenate(points)
             bits = np.unpackbits(together["bits"], axis=1, bitorder="little")
             ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
-            corner = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
             for k, which in enumerate(groups):
                 own = (bits[:, which].astype(np.int64) << np.arange(len(which))).sum(axis=1) | (k << len(which))
                 for key in (own, own ^ (np.int64(1) << together["weak"][:, k].astype(np.int64))):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), pa.array(corner)], names=["key", "image_id", "corner"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids)], names=["key", "image_id"])
 
-    return found.select("image_id", "points").mapInArrow(run, "key long, image_id long, corner int")
+    return found.select("image_id", "points").mapInArrow(run, "key long, image_id long")
 
 
 def _met(found: DataFrame) -> DataFrame:
-    """``(key, id)`` of all images that meet another under the key, without common corners that no link needs.
+    """``(key, id)`` of all images that meet another under the key.
 
-    The window drops the many keys of one image before anything is written.  An image with fewer than
-    CONSENSUS common corners needs none of their keys: any image it is linked with shares another corner.
+    The window drops the many keys of one image before anything is written.
     """
     by_key = Window.partitionBy("key")
-    keys = table_keys(found).withColumns({"least": F.min("image_id").over(by_key), "most": F.max("image_id").over(by_key), "n": F.count("*").over(by_key)})
-    met = materialise(keys.filter("least <> most").select("key", "image_id", "corner", "n"), "met")
-    common = met.filter(F.col("n") > COMMON)
-    few = common.groupBy("image_id").agg(F.count_distinct("corner").alias("corners")).filter(F.col("corners") < CONSENSUS).select("image_id")
-    needless = common.join(few, "image_id", "left_semi").select("key", "image_id").distinct()
-    out = materialise(met.select("key", "image_id").distinct().join(needless, ["key", "image_id"], "left_anti").withColumnRenamed("image_id", "id"), "shared")
-    discard(met)
-    return out
+    keys = table_keys(found).withColumns({"least": F.min("image_id").over(by_key), "most": F.max("image_id").over(by_key)})
+    return materialise(keys.filter("least <> most").select("key", F.col("image_id").alias("id")).distinct(), "met")
 
 
 def consensus(first: np.ndarray, second: np.ndarray) -> int:

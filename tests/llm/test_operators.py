@@ -224,10 +224,10 @@ def test_op3_links_in_large_tables_do_not_hang_on_the_first_image(spark):
     rng = np.random.default_rng(1)
     patches, layout = rng.integers(0, 256, (6, 32)), rng.uniform(0, 1000, (6, 2))
     images = {k: _points(rng, layout if k in (50, 51) else rng.uniform(0, 1000, (6, 2)), patches, 30.0 * (k == 51)) for k in range(82)}
-    assert 82 > image_copies.COMMON and _linked(spark, images) == [(50, 51)]
+    assert _linked(spark, images) == [(50, 51)]
 
 
-def test_op3_common_corners_make_no_candidates_and_lose_no_link(spark):
+def test_op3_common_corners_lose_no_link(spark):
     # 90 images share four patches; images 10 and 20 share five more in one layout
     rng = np.random.default_rng(2)
     logo, own, at = rng.integers(0, 256, (4, 32)), rng.integers(0, 256, (5, 32)), rng.uniform(0, 500, (9, 2))
@@ -235,6 +235,22 @@ def test_op3_common_corners_make_no_candidates_and_lose_no_link(spark):
     assert _linked(spark, images) == [(10, 20)]
 
 
+@pytest.mark.parametrize("n", [40, 80])
+def test_op3_links_that_meet_at_common_corners_only(spark, n):
+    # all share four corners; the ten own corners of images 1 and 2 differ in three bits of every table and so never meet
+    rng = np.random.default_rng(3)
+    logo, own, at = rng.integers(0, 256, (4, 32)), rng.integers(0, 2, (10, 256)), rng.uniform(0, 500, (14, 2))
+    other = own.copy()
+    for which in image_copies.table_bits():
+        other[:, which[5:8]] ^= 1
+    both = {1: own, 2: other}
+    images = {}
+    for k in range(n):
+        patches = np.packbits(both[k], axis=1, bitorder="little") if k in both else rng.integers(0, 256, (10, 32))
+        images[k] = _points(rng, at if k in both else rng.uniform(0, 500, (14, 2)), np.concatenate([logo, patches]))
+    assert image_copies.consensus(images[1], images[2]) == 14 and _linked(spark, images) == [(1, 2)]
+
+
 def _view(a, angle=0.0, ratio=1.0, side=None):
     """Bilinear view of ``a``, turned and rescaled about its middle."""
     side = side or int(min(a.shape) / 1.5)
@@ -555,12 +571,15 @@ def test_op10_visits_fewer_rows_than_brute_force(spread, most):
 def test_op10_recall_and_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(hilbert_neighbours, "BLOCK", 64)
     rng = np.random.default_rng(2)
+    mixed = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0]), (3, [2.0, 2.0])], "vec_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="several lengths"):
+        hilbert_neighbours.nearest(mixed)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
     rows = [(k, [float(v) for v in x[k]]) for k in range(1500)] + [(1500 + k, [float(v) for v in x[0]]) for k in range(40)]
     rows += [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [None] + [1.0] * 15), (None, [1.0] * 16), (5400, [1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = {}
-    for r in hilbert_neighbours.nearest(frame).collect():
+    for r in hilbert_neighbours.nearest(frame, length=16).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     ids = np.array([k for k, _ in rows[:1540]])
     full = np.array([v for _, v in rows[:1540]], dtype=np.float64)
