@@ -36,7 +36,7 @@ from .common import discard, materialise, small_batches
 from .components import connected_components
 from .linked_groups import class_links
 
-SCALES = (1.0, 1.5, 2.25)
+SCALES = (1.0, 1.225, 1.5, 1.84, 2.25)  # near enough that a corner of any ratio between has its like at one of them
 CORNER_AREA = 512  # one corner for so many pixels, at every scale
 LEAST_CORNERS = 6  # at every scale
 MARGIN = 15

@@ -271,7 +271,7 @@ def _photograph(seed, side=256):
     return a
 
 
-@pytest.mark.parametrize(("angle", "ratio", "side", "least"), [(0, 1, 128, 1.0), (90, 1, 128, 1.0), (15, 1, 150, 0.9), (45, 1, 150, 0.9), (0, 1.5, 170, 0.9), (0, 0.67, 150, 0.9)])
+@pytest.mark.parametrize(("angle", "ratio", "side", "least"), [(0, 1, 128, 1.0), (90, 1, 128, 1.0), (15, 1, 150, 0.9), (45, 1, 150, 0.9), (0, 1.1, 170, 0.9), (0, 1.22, 170, 0.9), (0, 1.35, 170, 0.9), (0, 1.5, 170, 0.9), (0, 0.82, 150, 0.9), (0, 0.67, 150, 0.9)])
 def test_op3_views_of_large_images(angle, ratio, side, least):
     turned, agreed, met = image_copies.turned_tests(), 0, 0
     for k in range(12):
