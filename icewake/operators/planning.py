@@ -104,11 +104,14 @@ def share_labels(steps: DataFrame) -> DataFrame:
 
 
 def hot_stretch(steps: DataFrame, columns: list[str], above: float = 0.6) -> DataFrame:
-    """First and last step where all columns, smoothed and scaled to 0..1 along the route, exceed a bound."""
+    """First and last step where all columns, smoothed and scaled to 0..1 along the route, exceed a bound.
+
+    Smoothed values count to nine digits, so that the order in which a window is summed never decides a step on the bound.
+    """
     whole = Window.partitionBy("route_id")
     rows = steps
     for c in columns:
-        rows = routes.smoothed(rows, c, f"_{c}")
+        rows = routes.smoothed(rows, c, f"_{c}").withColumn(f"_{c}", F.round(f"_{c}", 9))
     scaled = {}
     for c in columns:
         low, high = F.min(f"_{c}").over(whole), F.max(f"_{c}").over(whole)

@@ -114,3 +114,12 @@ def test_complete_points_far_cells_and_bounded_search(spark):
     found = search.search_routes(fields, runs).collect()
     assert [(r["seq"], r["reason"]) for r in found if r["run_id"] == "a"] == [(-1, "max_expansions_reached")]
     assert sum(r["run_id"] == "b" for r in found) == 5
+
+
+def test_hot_stretch_does_not_hang_on_the_order_of_a_sum(spark):
+    from icewake.operators import planning
+
+    routes = {"a": [3.4, 3.9, 4.0, 2.2, 1.7, 1.3], "b": [3.4, 3.8, 4.0, 3.2, 3.9, 1.2], "c": [3.8, 3.6, 3.9, 2.6, 3.9, 1.3]}  # a step of each is on the bound
+    steps = spark.createDataFrame([(r, k + 1, x, x) for r, values in routes.items() for k, x in enumerate(values)], "route_id string, seq long, u double, v double")
+    got = {r["route_id"]: (r["first_hot"], r["last_hot"]) for r in planning.hot_stretch(steps, ["u", "v"], 0.61).collect()}
+    assert got == {"a": (2, 4), "b": (3, 4), "c": (3, 4)}
