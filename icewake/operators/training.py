@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import cos, log, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,27 +93,36 @@ def small_model(cells: DataFrame, weights: dict[str, tuple[float, float, float]]
     return cells.withColumns({"risk": 1.0 - safe / (safe + risky), "uncertainty": 2.0 / (safe + risky)})
 
 
+def _beta_tail(one: np.ndarray, two: np.ndarray, alpha: float, steps: int) -> np.ndarray:
+    """Quantile and tail mean of Beta densities with the exponents ``one`` and ``two``; NaN without them."""
+    middle = [(k + 0.5) / steps for k in range(steps)]
+    raw = one[:, None] * np.array([log(x) for x in middle]) + two[:, None] * np.array([log(1 - x) for x in middle])
+    weight = np.exp(raw - raw.max(axis=1, keepdims=True))
+    share = (weight / weight.cumsum(axis=1)[:, -1:])[:, ::-1]  # from the top
+    k = np.arange(steps, 0, -1)
+    mass, total = share.cumsum(axis=1), (share * (k - 0.5) / steps).cumsum(axis=1)
+    last = (mass >= 1 - alpha).argmax(axis=1)[:, None]
+    own = lambda x: np.take_along_axis(x, last, axis=1)[:, 0]
+    known = ~np.isnan(one)
+    return np.stack([np.where(known, (k[last[:, 0]] - 0.5) / steps, np.nan), np.where(known, own(total) / own(mass), np.nan)])
+
+
 def beta_risk(cells: DataFrame, mean: str, variance: str, alpha: float = 0.9, steps: int = 200) -> DataFrame:
     """Mean, quantile and tail mean (CVaR) of the Beta distribution with this mean and variance.
 
-    The density is summed on a grid of ``steps`` points a cell, in one array expression; without variance all three are the mean.
+    The density is summed on a grid of ``steps`` points a cell, for a batch of cells at once, in a fixed order; without variance all three are
+    the mean.
     """
     m, v = F.col(mean), F.coalesce(finite(variance), F.lit(0.0))
     n = m * (1 - m) / v - 1
-    grid = [(k + 0.5) / steps for k in range(steps)]
-    logs = F.array(*[F.lit(log(x)) for x in grid])
-    back = F.array(*[F.lit(log(1 - x)) for x in grid])
-    raw = F.zip_with(logs, back, lambda x, y: (m * n - 1) * x + ((1 - m) * n - 1) * y)
-    whole = F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
     spread = F.coalesce((v > 1e-12) & (m > 0) & (m < 1) & (n > 0), F.lit(False))
-    rows = cells.withColumn("_raw", F.when(spread, raw)).withColumn("_w", F.transform("_raw", lambda x: F.exp(x - F.array_max("_raw")))).withColumn("_all", whole)
-    tail = F.aggregate(
-        F.sequence(F.lit(steps), F.lit(1)),
-        F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("sum"), F.lit(1.0).alias("q")),
-        lambda s, k: F.when(s["mass"] >= 1 - alpha, s).otherwise(
-            F.struct((s["mass"] + F.element_at("_w", k) / F.col("_all")).alias("mass"), (s["sum"] + F.element_at("_w", k) / F.col("_all") * (k - 0.5) / steps).alias("sum"), ((k - 0.5) / steps).alias("q"))
-        ),
-    )
-    rows = rows.withColumn("_tail", F.when(spread, tail))
+
+    @F.arrow_udf("struct<q double, cvar double>")
+    def tail(one: pa.Array, two: pa.Array) -> pa.Array:
+        parts = [_beta_tail(one.slice(k, 1024).to_numpy(False), two.slice(k, 1024).to_numpy(False), alpha, steps) for k in range(0, len(one), 1024)] or [np.empty((2, 0))]
+        q, cvar = np.concatenate(parts, axis=1)
+        return pa.StructArray.from_arrays([pa.array(q, from_pandas=True), pa.array(cvar, from_pandas=True)], names=["q", "cvar"])
+
+    rows = cells.withColumn("_tail", tail(F.when(spread, m * n - 1), F.when(spread, (1 - m) * n - 1)))
     quantile = F.greatest(F.coalesce("_tail.q", mean), m)
-    return rows.withColumns({"risk_mean": m, "risk_q": quantile, "risk_cvar": F.greatest(F.coalesce(F.col("_tail.sum") / F.col("_tail.mass"), m), quantile)}).drop("_raw", "_w", "_all", "_tail")
+    return rows.withColumns({"risk_mean": m, "risk_q": quantile, "risk_cvar": F.greatest(F.coalesce("_tail.cvar", m), quantile)}).drop("_tail")

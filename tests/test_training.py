@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from icewake import registry
 from icewake.operators import checks, density, encounters, grid, planning, records, training
@@ -94,3 +95,15 @@ def test_traffic_component_without_density_adds_nothing(spark):
     f = spark.createDataFrame([(1.0, 0.5), (2.0, None), (3.0, NAN)], "cost double, d double")
     assert [r["cost"] for r in planning.with_traffic_component(f, "d", 2.0).orderBy("cost").collect()] == [2.0, 2.0, 3.0]
     assert [r["cost"] for r in planning.with_traffic_component(f, "d", 0.0).orderBy("cost").collect()] == [1.0, 2.0, 3.0]
+
+
+def test_beta_risk_takes_time_in_proportion_to_its_grid(spark):
+    from time import perf_counter
+
+    rows = spark.range(300).select((F.col("id") % 97 / 100 + 0.01).alias("m")).withColumn("v", 0.1 * F.col("m") * (1 - F.col("m"))).coalesce(1)
+    took = []
+    for steps in (20, 200, 3200):
+        start = perf_counter()
+        training.beta_risk(rows, "m", "v", steps=steps).write.format("noop").mode("overwrite").save()
+        took.append(perf_counter() - start)
+    assert took[2] < 8 * took[1] + 2
