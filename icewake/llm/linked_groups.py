@@ -51,10 +51,8 @@ def class_links(met: DataFrame, verified: Callable[[DataFrame], DataFrame], near
             break
         together = materialise(_union(links), "all_links")
         roots = connected_components(together)
-        rooted = materialise(_rooted(placed.drop("root"), leaders, roots), "rooted")  # read twice
-        split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-        apart = materialise(rooted.join(split, "key", "left_semi"), "apart")  # ids of a key that are of one class stay so
-        discard(roots, together, rooted, written, leaders)
+        apart = materialise(_apart(_rooted(placed.drop("root"), leaders, roots)), "apart")
+        discard(roots, together, written, leaders)
         placed = written = apart
         count *= GROWTH if len(links) > 1 else 1
         if apart.isEmpty():
@@ -77,6 +75,16 @@ def _rooted(met: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
     return spread.filter("tag = 0 and led = 0").select(*met.columns, "root")
 
 
+def _apart(rooted: DataFrame) -> DataFrame:
+    """Rows of the keys whose ids are of several classes; ids of a key that are of one class stay so.
+
+    No join: what is left is part of ``rooted``, which has as many rows an id as that has keys, however large a group is.
+    """
+    own = Window.partitionBy("key")
+    ends = rooted.withColumns({"_low": F.min("root").over(own), "_high": F.max("root").over(own)})
+    return ends.filter("_low <> _high").drop("_low", "_high")
+
+
 def _crossing(apart: DataFrame) -> int:
     """Pairs of different classes under the keys, counted without making them."""
     sizes = apart.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("twice"))

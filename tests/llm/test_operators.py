@@ -643,3 +643,13 @@ def test_links_of_a_long_chain_under_one_key_take_few_pairs(spark):
     assert edges == {(k, k + 1) for k in range(1499)}
     assert sum(seen) <= 3 * 1500 and len(seen) <= 7  # turns of 1, 1, 4, 16, 64 and 256 leaders, then all
     assert linked_groups.class_links(frame.limit(0), verified, near).count() == 0
+
+
+def test_rows_of_keys_still_apart_are_found_without_a_join(spark, monkeypatch):
+    """Many ids under many common keys in several classes: what stays is no join's output, and the links are those of brute force."""
+    plans, write = {}, linked_groups.materialise
+    monkeypatch.setattr(linked_groups, "materialise", lambda df, label: plans.setdefault(label, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, label))
+    frame = spark.range(60 * 20).select((F.col("id") % 20).alias("key"), F.expr("id div 20").alias("id"))
+    edges = {(r["a"], r["b"]) for r in linked_groups.class_links(frame, lambda pairs: pairs.filter("b - a = 4")).collect()}
+    assert edges == {(k, k + 4) for k in range(56)}
+    assert plans["apart"] and not any("Join" in p for p in plans["apart"])
