@@ -13,16 +13,18 @@ passable.  Of steps that are equally good the first in row order is taken back f
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from ..sources.scratch import Written
 
+BATCH = 64  # blocks that a Python worker is given at once
 _STEPS = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
 _NEWS = "array<struct<bi:long,bj:long,i:long,j:long,d:double>>"
 _STATE = f"run_id string, bi long, bj long, cost binary, dist binary, news {_NEWS}"
@@ -57,10 +59,10 @@ def _blocks(cells: DataFrame, size: int) -> DataFrame:
         unknown = np.full((size + 2, size + 2), np.inf).tobytes()
         for b in batches:
             costs = []
-            for bi, bj, cells in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for k, (bi, bj) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                i, j, cost = (x.to_numpy(zero_copy_only=False) for x in b.column(3).slice(k, 1).flatten().flatten())
                 frame = np.full((size + 2, size + 2), np.inf)
-                for c in cells:
-                    frame[c["i"] - bi * size + 1, c["j"] - bj * size + 1] = c["cost"]
+                frame[i - bi * size + 1, j - bj * size + 1] = cost
                 costs.append(frame.tobytes())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(costs, pa.binary()), pa.array([unknown] * len(costs), pa.binary()), pa.array([[]] * len(costs), _ARROW_NEWS)], names=["run_id", "bi", "bj", "cost", "dist", "news"])
 
@@ -152,6 +154,18 @@ def _walked(at: DataFrame, size: int) -> DataFrame:
     return at.select("run_id", "bi", "bj", "i", "j", "start_i", "start_j", "cost", "dist").mapInArrow(run, walk)
 
 
+@contextmanager
+def _few_blocks(spark: SparkSession) -> Iterator[None]:
+    """Python workers hold ``BATCH`` blocks at once, however many a task has."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def search_blocks(fields: DataFrame, runs: DataFrame, size: int = 64) -> DataFrame:
     """Routes of ``runs`` (run_id, start_i, start_j, goal_i, goal_j) over ``fields`` (run_id, i, j, cost), as ``search_routes`` has them.
 
@@ -166,16 +180,18 @@ def search_blocks(fields: DataFrame, runs: DataFrame, size: int = 64) -> DataFra
     why = F.when(F.col("start_i").isNull(), "no_ocean_start").when(F.col("goal_i").isNull(), "no_ocean_goal").when(F.col("start_open").isNull(), "start_blocked").when(F.col("goal_open").isNull(), "goal_blocked")
     judged = Written(known.withColumn("why", why), "runs")  # a row a run
     able = judged.table.filter("why is null").drop("why")
-    state = _settled(passable.table, able, size)
+    with _few_blocks(fields.sparkSession):
+        state = _settled(passable.table, able, size)
     passable.drop()
-    best = Written(_goal_distances(state.table, able, size), "goals")
-    at = best.table.join(able, "run_id").select("run_id", F.col("goal_i").alias("i"), F.col("goal_j").alias("j"))
     parts, hop = [], 0
-    while not at.isEmpty():
-        placed = at.withColumns({"bi": F.floor(F.col("i") / size).cast("long"), "bj": F.floor(F.col("j") / size).cast("long")}).join(able.select("run_id", "start_i", "start_j"), "run_id")
-        part = Written(_walked(placed.join(state.table.select("run_id", "bi", "bj", "cost", "dist"), ["run_id", "bi", "bj"]), size), "walk")
-        parts.append(part.table.select("run_id", F.lit(hop).alias("hop"), F.posexplode("cells").alias("k", "x")))
-        at, hop = part.table.filter("i is not null").select("run_id", "i", "j"), hop + 1
+    with _few_blocks(fields.sparkSession):
+        best = Written(_goal_distances(state.table, able, size), "goals")
+        at = best.table.join(able, "run_id").select("run_id", F.col("goal_i").alias("i"), F.col("goal_j").alias("j"))
+        while not at.isEmpty():
+            placed = at.withColumns({"bi": F.floor(F.col("i") / size).cast("long"), "bj": F.floor(F.col("j") / size).cast("long")}).join(able.select("run_id", "start_i", "start_j"), "run_id")
+            part = Written(_walked(placed.join(state.table.select("run_id", "bi", "bj", "cost", "dist"), ["run_id", "bi", "bj"]), size), "walk")
+            parts.append(part.table.select("run_id", F.lit(hop).alias("hop"), F.posexplode("cells").alias("k", "x")))
+            at, hop = part.table.filter("i is not null").select("run_id", "i", "j"), hop + 1
     failed = judged.table.join(best.table, "run_id", "left").filter("best is null").select("run_id", F.lit(-1).alias("seq"), F.lit(None).cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(None).cast("double").alias("step_cost"), F.lit(None).cast("double").alias("distance"), F.coalesce("why", F.lit("no_path")).alias("reason"))
     if not parts:
         return failed

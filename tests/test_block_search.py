@@ -113,3 +113,14 @@ def test_points_are_not_shuffled_for_a_small_grid(spark):
         points = spark.range(n).select(F.col("id").alias("point_id"), (F.col("id") * 7919 % 17001 / 1000).alias("lat"), (F.col("id") * 104729 % 164001 / 1000).alias("lon"))
         sizes.append(_shuffled_bytes(spark, lambda points=points: alignment.nearest_cells(points, cells).write.format("noop").mode("overwrite").save()))
     assert sizes[1] < 2 * sizes[0] + 10000
+
+
+def test_a_python_worker_holds_few_blocks_at_once(spark, monkeypatch):
+    seen, step = [], block_search._step
+    monkeypatch.setattr(block_search, "_step", lambda heard, size: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or step(heard, size))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cells = spark.range(900).select(F.lit("r").alias("run_id"), F.expr("id div 30").alias("i"), (F.col("id") % 30).alias("j"), F.lit(1.0).alias("cost"))
+    run = spark.createDataFrame([("r", 0, 0, 29, 29)], "run_id string, start_i long, start_j long, goal_i long, goal_j long")
+    assert block_search.search_blocks(cells, run, 8).count() == 30
+    assert seen and all(int(n) <= 64 for n in seen)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
