@@ -48,10 +48,12 @@ def pairs(points: DataFrame, reach_km: float = 10.0, minutes: int = 10, tile_deg
     west, east = F.when(whole, F.lit(0)).otherwise(column(F.col("lon") - side)), F.when(whole, F.lit(around - 1)).otherwise(column(F.col("lon") + side))
     seen = stands.drop("ti", "tj").withColumn("ti", F.explode(F.sequence(row(F.col("lat") - up), row(F.col("lat") + up)))).withColumn("tj", F.explode(F.sequence(west, east))).withColumn("tj", F.pmod("tj", F.lit(around)))
     seen = seen.join(crowded, ["slot", "ti", "tj"], "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)))
+    speed = lambda s: F.col("sog") * KNOT_KMH * s(F.radians("cog"))
+    seen, dealt = (v.withColumns({"vx": speed(F.sin), "vy": speed(F.cos)}).drop("sog", "cog") for v in (seen, dealt))  # once a vessel, not once a pair
     x, y = _offset("p", "q")
-    met = seen.alias("p").join(dealt.alias("q"), (F.col("p.slot") == F.col("q.slot")) & (F.col("p.ti") == F.col("q.ti")) & (F.col("p.tj") == F.col("q.tj")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.mmsi") < F.col("q.mmsi")) & (x * x + y * y <= reach_km * reach_km))
-    speed = lambda c, s: F.col(f"{c}.sog") * KNOT_KMH * s(F.radians(f"{c}.cog"))
-    vx, vy = speed("q", F.sin) - speed("p", F.sin), speed("q", F.cos) - speed("p", F.cos)
+    level = F.abs(y) <= reach_km * (1 + 1e-9)  # before the costlier distance
+    met = seen.alias("p").join(dealt.alias("q"), (F.col("p.slot") == F.col("q.slot")) & (F.col("p.ti") == F.col("q.ti")) & (F.col("p.tj") == F.col("q.tj")) & (F.col("p.block") == F.col("q.block")) & (F.col("p.mmsi") < F.col("q.mmsi")) & level & (x * x + y * y <= reach_km * reach_km))
+    vx, vy = (F.col(f"q.{c}") - F.col(f"p.{c}") for c in ("vx", "vy"))
     made = met.select(F.col("p.slot").alias("slot"), F.col("p.mmsi").alias("a"), F.col("q.mmsi").alias("b"), x.alias("x"), y.alias("y"), vx.alias("vx"), vy.alias("vy"), F.col("p.lat").alias("lat1"), F.col("q.lat").alias("lat2"), F.col("p.lon").alias("lon1"), F.col("q.lon").alias("lon2"))
     v2 = F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")
     hours = F.when(v2 > 1e-9, F.greatest(F.lit(0.0), -(F.col("x") * F.col("vx") + F.col("y") * F.col("vy")) / v2)).otherwise(0.0)

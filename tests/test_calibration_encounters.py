@@ -162,3 +162,9 @@ def test_two_ships_on_opposite_courses_come_close(spark):
     assert math.isclose(r["km"], km, rel_tol=1e-9) and abs(r["closest_km"]) < 1e-6 and math.isclose(r["hours"], km / 37.04, rel_tol=1e-6)
     assert encounters.interaction(encounters.pairs(frame, 10.0), 5.0, 0.5).first()["worst"] > 0.999
     assert encounters.pairs(frame.filter("false")).count() == 0
+
+
+def test_encounters_take_speeds_apart_once_a_vessel(spark):
+    frame = spark.createDataFrame([(1, "2024-12-01 00:00:00", 70.0, 10.0, 10.0, 90.0)], "mmsi long, ts string, lat double, lon double, sog double, cog double").selectExpr("mmsi", "to_timestamp(ts) as ts", "lat", "lon", "sog", "cog")
+    plan = encounters.pairs(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SIN(" in plan and "SIN(" not in plan.split("Join")[0]
