@@ -11,7 +11,8 @@ reports a spanning forest of its links, not all its pairs.
 
 For a stated similarity of shingle sets (``similar_classes``) fingerprints are wide: ``LANES`` lanes of 64
 bits over rehashed shingles, every lane probed as above, so that a pair has to come close on one of
-many lanes only; those that meet and are near over ``SKETCH`` lanes are compared shingle by shingle.
+many lanes only; of those that meet and are near over ``SKETCH`` lanes, the ones whose parities (``parities``) leave the
+similarity possible are compared shingle by shingle.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; equal
 fingerprints are one node, so exact copies never multiply; rows with a repeated doc_id count as one
@@ -23,12 +24,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, comb, pi, sqrt
+from math import acos, ceil, comb, log2, pi, sqrt
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, small_batches
@@ -42,6 +43,9 @@ WIDTH = 64 // GROUPS
 LANES = 12  # lanes of a wide fingerprint, each of them probed
 SKETCH = 2  # lanes that go along to drop chance meetings
 SURE = 2.33  # standard deviations over all lanes: one pair of a hundred at the similarity itself is outside
+ODD = 16  # words of 64 bits that hold the parities of a set of shingles
+WHOLE = 512  # shingles up to which the parities are those of all of them
+DRAWN = 4.0  # standard deviations that are left to parities of drawn shingles
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -367,22 +371,52 @@ def differing_share(similarity: float) -> float:
     return acos(2 * similarity / (1 + similarity)) / pi
 
 
-_SKETCHED = "doc_id long, node long, fp long, lanes array<long>"
+def parities(own: np.ndarray, level: int) -> np.ndarray:
+    """Whether an odd number of shingles fall on each of ``64 * ODD`` places; of one shingle in ``2 ** level``, the same ones for all sets.
+
+    Two sets differ in at least as many shingles as their parities do, so at level 0 this is a bound without chance.
+    """
+    own = own[own & np.uint64((1 << level) - 1) == 0]
+    odd = np.bincount((own >> np.uint64(48)).astype(np.int64) % (64 * ODD), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _possible(similarity: float) -> Column:
+    """Rows one and two whose sizes and parities leave it possible that the sets have this similarity.
+
+    Sets of n and m shingles that differ in d have similarity (n + m - d) / (n + m + d).  The smaller set's second words are those of the next level.
+    """
+    n, m, level = F.col("one.size"), F.col("two.size"), F.greatest("one.level", "two.level")
+    most = (n + m) * ((1 - similarity) / (1 + similarity)) / F.pow(F.lit(2.0), level)
+    most += F.when(level > 0, DRAWN * F.sqrt(most)).otherwise(0.0) + 1e-6
+    words = [F.slice(f"{x}.odd", F.when(F.col(f"{x}.level") < level, ODD + 1).otherwise(1), ODD) for x in ("one", "two")]
+    odd = F.aggregate(F.zip_with(*words, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)  # short code, where a sum of terms is beyond what the JVM compiles
+    far = F.abs(F.col("one.level") - F.col("two.level")) > 1
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6) & (far | (odd <= most))
+
+
+_SKETCHED = "doc_id long, node long, fp long, lanes array<long>, size long, level long, odd array<long>"
 
 
 def sketches(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """``(doc_id, node, fp, lanes)``: a number for the set of shingles, and SimHashes of that set in several lanes."""
+    """``(doc_id, node, fp, lanes, size, level, odd)``: a number for the set of shingles, SimHashes of that set in several lanes, its size and parities at two levels."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, wide = np.empty(batch.num_rows, dtype="<u8"), np.empty((batch.num_rows, lanes), dtype="<u8")
+            size, odd = np.empty((2, batch.num_rows), dtype=np.int64), np.empty((batch.num_rows, 2 * ODD), dtype="<u8")
             for k, t in enumerate(batch.column(1).to_pylist()):
                 own = np.unique(shingle_hashes(t, words))
                 wide[k] = [majority_bits(own if lane == 0 else _mix(own, lane)) for lane in range(lanes)]
                 with np.errstate(over="ignore"):
                     node[k] = _mix(_mix(own, lanes).sum(dtype=np.uint64), len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node.view(np.int64)), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), pa.array(list(wide.view(np.int64)), pa.list_(pa.int64()))], names=[c.split()[0] for c in _SKETCHED.split(", ")])
+                size[:, k] = len(own), ceil(log2(max(len(own) / WHOLE, 1)))
+                drawn = _mix(own, lanes + 1)
+                odd[k] = np.concatenate([parities(drawn, int(size[1, k]) + up) for up in (0, 1)])
+            lists = [pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in (wide, odd)]
+            made = [pa.array(node.view(np.int64)), pa.array(np.ascontiguousarray(wide[:, 0]).view(np.int64)), lists[0], pa.array(size[0]), pa.array(size[1]), lists[1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=[c.split()[0] for c in _SKETCHED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SKETCHED)
 
@@ -485,13 +519,14 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, la
 
     A pair is a candidate if it differs in at most three bits on groups of any lane, as ``probes`` has it, and
     in no more bits, over the sketch and over all lanes, than the similarity lets expect within a few standard
-    deviations.  Every candidate's shingle sets are compared, so no pair below ``similarity`` is linked; a pair at 0.8
+    deviations, and its parities allow the similarity.  Every candidate's shingle sets are compared, so no pair below ``similarity`` is linked; a pair at 0.8
     is missed with chance 0.04 by the binomial model of twelve lanes (measured by a test), one at 0.9 practically never.
     """
     share = differing_share(similarity)
     limit = _bound(share, 64 * SKETCH, 3.0)
     own = materialise(sketches(docs, words, lanes), "sketches")
-    distinct = materialise(own.groupBy("node").agg(F.min("doc_id").alias("node_id"), F.first("fp").alias("fp"), F.first("lanes").alias("lanes")), "distinct").filter("node_id is not null")
+    along = ("lanes", "size", "level", "odd")
+    distinct = materialise(own.groupBy("node").agg(F.min("doc_id").alias("node_id"), *(F.first(c).alias(c) for c in ("fp", *along))), "distinct").filter("node_id is not null")
     groups = bit_groups(distinct)
     thresholds = allocate_thresholds(_histograms(distinct, groups), distinct.count(), GROUPS - 1)
     met = materialise(_met(_sketch_rows(distinct, groups, thresholds, lanes), limit, BUCKET), "met")
@@ -507,10 +542,10 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8, la
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = materialise(texts.join(needed, texts.id == needed.needed_id, "left_semi").mapInArrow(shingled, "id long, shingles binary"), "sets")
-    # all lanes are wanted for the rows that met only
-    met = materialise(met.select("key", "id").distinct().join(distinct.select(F.col("node_id").alias("id"), "lanes"), "id").select("key", "id", "lanes"), "groups")
+    # all lanes and the parities are wanted for the rows that met only
+    met = materialise(met.select("key", "id").distinct().join(distinct.select(F.col("node_id").alias("id"), *along), "id").select("key", "id", *along), "groups")
     near = sum((F.bit_count(F.col("one.lanes")[k].bitwiseXOR(F.col("two.lanes")[k])) for k in range(lanes)), F.lit(0)) <= _bound(share, 64 * lanes, SURE)
-    edges = class_links(met, lambda pairs: _similar_pairs(pairs, sets, similarity), near)
+    edges = class_links(met, lambda pairs: _similar_pairs(pairs, sets, similarity), near & _possible(similarity))
     labelled = _labelled(own.select("doc_id", F.col("node").alias("set")), distinct.select(F.col("node").alias("set"), F.col("node_id").alias("node")), "set", edges)
     discard(met, sets)
     return labelled.select("doc_id", "component_id")

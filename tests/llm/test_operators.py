@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from math import ceil, log2
 
 import duckdb
 import numpy as np
@@ -609,6 +610,56 @@ def test_pipeline_stages(spark):
     assert out.agg({"length": "max"}).first()[0] <= 2048
 
 
+def test_near_copies_below_the_similarity_make_few_candidates(spark, monkeypatch):
+    """120 texts of one, three words of each exchanged, are 0.735 alike: nearly all of their 7,140 pairs are too near for SimHash to tell from 0.8."""
+    rng, seen, compare = np.random.default_rng(9), [], simhash_dedup._similar_pairs
+    base = [f"w{k}" for k in range(200)]
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return compare(pairs, *rest)
+
+    monkeypatch.setattr(simhash_dedup, "_similar_pairs", counted)
+    texts = []
+    for k in range(120):
+        own = list(base)
+        for place in rng.choice(np.arange(5, 195, 10), 3, replace=False):
+            own[place] = f"x{k}_{place}"
+        texts.append(" ".join(own))
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    linked = sum(len(x & y) >= 0.8 * len(x | y) for k, x in enumerate(sets) for y in sets[:k])
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_classes(frame).collect()}
+    assert len(got) == 120 and sum(seen) <= linked + 200
+
+
+def test_parities_lose_no_similar_pair(spark):
+    """Sets around both sides of 0.8, of all their shingles, of drawn ones and of two levels; of all shingles next to no pair at 0.7 is left."""
+    rng, rows, alike = np.random.default_rng(3), [], []
+    for size in (0, 1, 9, 150, 400, 500, 900, 1020, 3000):
+        for k in range(40):
+            share = (1.0, 0.95, 0.8, 0.7)[k % 4]
+            one = rng.integers(0, 1 << 63, size + size // 5, dtype=np.uint64)
+            apart = ceil(size * (1 - share) / (1 + share)) if share != 0.8 else size // 9  # on each side
+            more = rng.integers(0, 1 << 63, apart, dtype=np.uint64)
+            x, y = one[:size], np.concatenate([one[apart:size], more])
+            if k % 8 == 2 and size:
+                y = one[: size + size // 5]  # one holds the other
+            rows.append(tuple(v for own in (x, y) for v in _parity_row(own)))
+            alike.append(simhash_dedup.jaccard(np.unique(x), np.unique(y)))
+    kind = ", ".join(f"{n} struct<size:long,level:long,odd:array<long>>" for n in ("one", "two"))
+    frame = spark.createDataFrame([(k, r[:3], r[3:]) for k, r in enumerate(rows)], f"k long, {kind}")
+    left = {r["k"] for r in frame.filter(simhash_dedup._possible(0.8)).collect()}
+    assert left >= {k for k, j in enumerate(alike) if j >= 0.8}
+    assert not [k for k in left if alike[k] < 0.72 and 100 <= rows[k][0] <= simhash_dedup.WHOLE]
+    assert {r[k] for r in rows for k in (1, 4)} == {0, 1, 2, 3} and any(r[1] != r[4] and j >= 0.8 for r, j in zip(rows, alike))
+
+
+def _parity_row(own):
+    size, level = len(own), ceil(log2(max(len(own) / simhash_dedup.WHOLE, 1)))
+    return size, level, np.concatenate([simhash_dedup.parities(own, level + up) for up in (0, 1)]).view(np.int64).tolist()
+
+
 def test_links_under_several_keys_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     met = sorted({(int(k), int(i)) for i in range(120) for k in rng.integers(0, 25, 6)})
