@@ -23,8 +23,7 @@ shorter than ``min_bytes`` are kept whole; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from uuid import uuid4
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -325,12 +324,13 @@ def _block_repeats(oid: np.ndarray, start: np.ndarray, pieces: list[bytes], min_
     return _joined_runs(runs)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch], min_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of candidate segments, by bucket of their gram."""
+def _cut_out(batches: Iterator[pa.RecordBatch], columns: list[int], min_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of candidate segments, by bucket of their gram; ``columns``: the places of oid, text and runs."""
     span = min_bytes - GRAM + 1
     for batch in batches:
         oids, keys, starts, parts = [], [], [], []
-        for oid, data, packed in zip(*(batch.column(c).to_pylist() for c in ("oid", "bytes", "packed"))):
+        oid_of, content, runs = (batch.column(c) for c in columns)
+        for oid, data, packed in zip(oid_of.to_pylist(), content.cast(pa.binary()).to_pylist(), runs.to_pylist()):
             pairs = np.concatenate([np.frombuffer(p, dtype="<i4") for p in packed]).reshape(-1, 2)
             pieces = [data[a:b] for a, b in pairs.tolist()]
             joined = np.frombuffer(b"".join(pieces), dtype=np.uint8)
@@ -376,24 +376,45 @@ def _expand(batches: Iterator[pa.RecordBatch], min_bytes: int) -> Iterator[pa.Re
         yield from flush(None)
 
 
+def _found_runs(own: DataFrame, placed: DataFrame, content: str, min_bytes: int) -> DataFrame:
+    """Runs by ``oid`` as a list ``packed``, which may overlap.
+
+    ``own`` has oid and bytes, ``placed`` the same documents dealt by oid, with their text as ``content``.  The
+    cut takes ``placed`` with all its columns, as its later reader does, so Spark shuffles the documents once
+    for both.
+    """
+    spark = own.sparkSession
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    anchors = _anchor_rows(own, min_bytes, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    found = materialise(anchors.mapInArrow(_resolve, "oid long, kind int, packed binary"), "segments")
+    candidates = found.filter(F.col("kind") == CANDIDATE).groupBy("oid").agg(F.collect_list("packed").alias("packed"))
+    at = [placed.columns.index(c) for c in ("oid", content)] + [len(placed.columns)]
+    joined = placed.join(candidates.withColumnRenamed("oid", "candidate").hint("shuffle_hash"), placed["oid"] == F.col("candidate"))
+    joined = joined.select(*(placed[c] for c in placed.columns), candidates["packed"])
+    cut = joined.mapInArrow(lambda b: _cut_out(b, at, min_bytes, buckets), "bucket int, key long, oid long, start int, piece binary")
+    expanded = cut.repartition("bucket").sortWithinPartitions("key").mapInArrow(lambda b: _expand(b, min_bytes), "oid long, kind int, packed binary")
+    return found.filter(F.col("kind") == REPEAT).union(expanded).groupBy("oid").agg(F.collect_list("packed").alias("packed"))
+
+
+def _runs_within(packed: Iterable[bytes], size: int) -> np.ndarray:
+    """The (start, end) pairs of a document of ``size`` bytes, in order and joined."""
+    pairs = np.concatenate([np.frombuffer(p, dtype="<i4") for p in packed]).reshape(-1, 2)
+    r = np.zeros(len(pairs), dtype=_RUNS)
+    r["start"], r["end"] = pairs[:, 0], np.minimum(pairs[:, 1], size)
+    r = _joined_runs(r[r["start"] < r["end"]])
+    return np.stack([r["start"], r["end"]], axis=1)
+
+
 def removed_runs(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     """Every row of ``docs`` as doc_id, bytes, and ``removed``: packed (start, end) 32-bit pairs in order."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(docs.sparkSession)
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("oid"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("bytes"),
     )
-    anchors = _anchor_rows(own, min_bytes, buckets).repartition("bucket").sortWithinPartitions("bucket")
-    found = materialise(anchors.mapInArrow(_resolve, "oid long, kind int, packed binary"), "segments")
     placed = own.repartition("oid")
-    candidates = found.filter(F.col("kind") == CANDIDATE).groupBy("oid").agg(F.collect_list("packed").alias("packed"))
-    cut = placed.select("oid", "bytes").join(candidates.hint("shuffle_hash"), "oid").mapInArrow(lambda b: _cut_out(b, min_bytes, buckets), "bucket int, key long, oid long, start int, piece binary")
-    expanded = cut.repartition("bucket").sortWithinPartitions("key").mapInArrow(lambda b: _expand(b, min_bytes), "oid long, kind int, packed binary")
-    runs = found.filter(F.col("kind") == REPEAT).union(expanded).groupBy("oid").agg(F.collect_list("packed").alias("packed"))
-    joined = placed.join(runs.hint("shuffle_hash"), "oid", "left")
+    joined = placed.join(_found_runs(own, placed, "bytes", min_bytes).hint("shuffle_hash"), "oid", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,13 +424,10 @@ def removed_runs(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
                     kept.append(data)
                     removed.append(b"")
                     continue
-                pairs = np.concatenate([np.frombuffer(p, dtype="<i4") for p in packed]).reshape(-1, 2)
-                r = np.zeros(len(pairs), dtype=_RUNS)
-                r["start"], r["end"] = pairs[:, 0], np.minimum(pairs[:, 1], len(data))
-                r = _joined_runs(r[r["start"] < r["end"]])
-                edges = [0, *np.stack([r["start"], r["end"]], axis=1).reshape(-1).tolist(), len(data)]
+                runs = _runs_within(packed, len(data))
+                edges = [0, *runs.reshape(-1).tolist(), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append(np.stack([r["start"], r["end"]], axis=1).tobytes())
+                removed.append(runs.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in batch.column("bytes").to_pylist()], pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.binary())], names=["doc_id", "n_bytes", "kept", "removed"])
 
     return joined.select("doc_id", "bytes", "packed").mapInArrow(finish, "doc_id long, n_bytes long, kept binary, removed binary")
@@ -421,28 +439,30 @@ def without_repeats(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     Runs are narrowed to whole characters, so the text stays valid; a null text stays null, and rows
     without an id are kept as they are.
     """
-    spark = docs.sparkSession
-    runs = removed_runs(docs.filter("doc_id is not null").select("doc_id", "text"), min_bytes).filter(F.octet_length("removed") > 0)
-    cut, cut_id = f"cut_{uuid4().hex}", f"cut_id_{uuid4().hex}"  # no columns of docs
-    cuts = runs.groupBy("doc_id").agg(F.first("removed").alias(cut)).withColumnRenamed("doc_id", cut_id)
+    small_batches(docs.sparkSession)
+    named = docs.filter("doc_id is not null").toDF(*(f"_{k}" for k in range(len(docs.columns))))  # names of docs may be any
+    doc_id, text = (f"_{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    oid = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("oid")
+    own = named.select(oid, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("bytes"))
+    placed = named.select("*", oid).repartition("oid")
+    joined = placed.join(_found_runs(own, placed, text, min_bytes).hint("shuffle_hash"), "oid", "left")
 
     @F.pandas_udf("string")
-    def shortened(text: pd.Series, cuts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or c is None else _without(t, c) for t, c in zip(text, cuts)], dtype=object)
+    def shortened(text: pd.Series, packed: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or p is None else _without(t, p) for t, p in zip(text, packed)], dtype=object)
 
-    small_batches(spark)
-    out = docs.join(cuts, F.col("doc_id") == F.col(cut_id), "left")
-    out = out.withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(shortened("text", cut)))
+    whole = F.col("packed").isNull()
+    out = joined.withColumn(text, F.when(whole, F.col(text)).otherwise(shortened(text, "packed")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        n_chars = f"_{docs.columns.index('n_chars')}"
+        out = out.withColumn(n_chars, F.when(whole, F.col(n_chars)).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    return out.select(named.columns).toDF(*docs.columns).union(docs.filter("doc_id is null"))
 
 
-def _without(text: str, cuts: bytes) -> str:
+def _without(text: str, packed: Iterable[bytes]) -> str:
     data = text.encode("utf-8")
     at, out = 0, []
-    for a, b in np.frombuffer(cuts, dtype="<i4").reshape(-1, 2).tolist():
-        a, b = min(a, len(data)), min(b, len(data))
+    for a, b in _runs_within(packed, len(data)).tolist():
         while a < b and data[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(data) and data[b] & 0xC0 == 0x80:

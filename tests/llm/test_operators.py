@@ -85,6 +85,35 @@ def test_op1_edge_cases(spark, odd, none):
     assert suffix_array_dedup.without_repeats(none).count() == 0
 
 
+def test_op1_shuffles_the_documents_once(spark):
+    def written():
+        jvm = spark._jvm
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(2000).hex() for _ in range(300)]
+    texts[7], texts[200] = texts[7] + texts[3][:150], texts[9][700:1000] + texts[200]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*texts, None])] + [(None, texts[0], 9)], "doc_id long, text string, n_chars int")
+    none, cost = written(), []
+    for query in (lambda d: d.sparkSession.createDataFrame(d.repartition("doc_id").collect(), d.schema), suffix_array_dedup.without_repeats, suffix_array_dedup.removed_runs):
+        rows = query(docs).collect()
+        cost.append(written() - none)
+        none += cost[-1]
+        if query is suffix_array_dedup.without_repeats:
+            assert {r["doc_id"]: tuple(r)[1:] for r in rows} == dict(enumerate((t, 1) for t in [*texts, None])) | {7: (texts[7][:4000], 4000), 200: (texts[200][300:], 4000), None: (texts[0], 9)}
+    once, cut, runs = cost
+    assert once > 0 and max(cut, runs) < 2.5 * once  # anchors of segments take about as much again
+
+
+def test_repeated_ids_are_cut_each_by_their_own_text(spark):
+    head, tail = "".join(f"é{k}," for k in range(80)), "".join(f"{k};" for k in range(100, 180))
+    docs = spark.createDataFrame([(1, head), (5, "short"), (5, tail + head), (6, None), (None, head)], "doc_id int, text string")
+    got = [tuple(r) for r in suffix_array_dedup.without_repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, head), (5, "short"), (5, tail), (6, None), (None, head)], key=str)
+
+
 def test_suffix_classes_are_those_of_sorted_suffixes():
     rng = np.random.default_rng(1)
     strings = [bytes(rng.integers(97, 99, rng.integers(1, 40)).astype(np.uint8)) for _ in range(12)]
