@@ -155,7 +155,7 @@ def _walked(at: DataFrame, size: int) -> DataFrame:
 
 
 @contextmanager
-def _few_blocks(spark: SparkSession) -> Iterator[None]:
+def few_blocks(spark: SparkSession) -> Iterator[None]:
     """Python workers hold ``BATCH`` blocks at once, however many a task has."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -180,11 +180,11 @@ def search_blocks(fields: DataFrame, runs: DataFrame, size: int = 64) -> DataFra
     why = F.when(F.col("start_i").isNull(), "no_ocean_start").when(F.col("goal_i").isNull(), "no_ocean_goal").when(F.col("start_open").isNull(), "start_blocked").when(F.col("goal_open").isNull(), "goal_blocked")
     judged = Written(known.withColumn("why", why), "runs")  # a row a run
     able = judged.table.filter("why is null").drop("why")
-    with _few_blocks(fields.sparkSession):
+    with few_blocks(fields.sparkSession):
         state = _settled(passable.table, able, size)
     passable.drop()
     parts, hop = [], 0
-    with _few_blocks(fields.sparkSession):
+    with few_blocks(fields.sparkSession):
         best = Written(_goal_distances(state.table, able, size), "goals")
         at = best.table.join(able, "run_id").select("run_id", F.col("goal_i").alias("i"), F.col("goal_j").alias("j"))
         while not at.isEmpty():

@@ -360,8 +360,7 @@ SELECT ci, cj, round(avg(risk), 6) AS risk, round(max(risk), 6) AS worst, count(
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = t.points(spark, d).withColumn("cog", (F.col("point_id") * 37 % 360).cast("double"))
-    met = encounters.pairs(p, reach_km=300.0, minutes=1440, tile_deg=4.0)
-    return encounters.interaction(met, 300.0, 4.0).select("ci", "cj", _r("risk", "risk"), _r("worst", "worst"), "pairs")
+    return encounters.interaction_of_all(p, reach_km=300.0, minutes=1440, near_km=300.0, cell_deg=4.0).select("ci", "cj", _r("risk", "risk"), _r("worst", "worst"), "pairs")
 
 
 _CONDITIONS = "k AS (SELECT event_id AS point_id, (event_id * 13 % 101)::DOUBLE AS iceberg, (event_id * 7 % 41)::DOUBLE AS wind, (event_id * 17 % 101)::DOUBLE AS ice, (event_id * 29 % 101)::DOUBLE AS congestion FROM events)"

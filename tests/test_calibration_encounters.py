@@ -168,3 +168,51 @@ def test_encounters_take_speeds_apart_once_a_vessel(spark):
     frame = spark.createDataFrame([(1, "2024-12-01 00:00:00", 70.0, 10.0, 10.0, 90.0)], "mmsi long, ts string, lat double, lon double, sog double, cog double").selectExpr("mmsi", "to_timestamp(ts) as ts", "lat", "lon", "sog", "cog")
     plan = encounters.pairs(frame)._jdf.queryExecution().optimizedPlan().toString()
     assert "SIN(" in plan and "SIN(" not in plan.split("Join")[0]
+
+
+@pytest.mark.parametrize(("few", "chunks"), [(1024, (64, 128)), (3, (4, 8))])
+def test_interaction_of_all_equals_that_of_pairs(spark, monkeypatch, few, chunks):
+    monkeypatch.setattr(encounters, "PACK", 45)
+    monkeypatch.setattr(encounters, "FEW_CELLS", few)
+    monkeypatch.setattr(encounters, "CHUNKS", chunks)
+    rng = np.random.default_rng(12)
+    places = [(float(rng.uniform(-89.9, 89.9)), float(rng.uniform(-180, 180))) for _ in range(200)]
+    places += [(70 + float(rng.normal()) * 0.2, 20 + float(rng.normal()) * 0.3) for _ in range(150)]  # a crowd
+    places += [(75 + float(rng.normal()) * 0.2, (180 + float(rng.normal()) * 0.5 + 180) % 360 - 180) for _ in range(60)]  # the date line
+    places += [(89.5 + float(rng.uniform(0, 0.5)), float(rng.uniform(-180, 180))) for _ in range(40)] + [(-88.0, float(x)) for x in range(-170, 180, 20)]  # the poles
+    places += [(70.0, 20.0), (70.0, 20.0), (60.0, 180.0), (60.0, -180.0), (0.1, 0.1), (-0.1, -0.1)]
+    stamped = [(k, f"2024-01-01 0{k % 2}:05:00", lat, lon, float(k % 7), float(k * 37 % 360)) for k, (lat, lon) in enumerate(places)]
+    frame = spark.createDataFrame(stamped, "mmsi long, ts string, lat double, lon double, sog double, cog double").withColumn("ts", F.col("ts").cast("timestamp"))
+    for reach, near, cell in ((60.0, 20.0, 0.5), (300.0, 300.0, 4.0), (900.0, 1000.0, 7.0)):
+        rows = lambda d: {(r["ci"], r["cj"]): (r["risk"], r["worst"], r["pairs"]) for r in d.collect()}
+        got, want = rows(encounters.interaction_of_all(frame, reach, 60, near, cell)), rows(encounters.interaction(encounters.pairs(frame, reach, 60, 2.0), near, cell))
+        assert got.keys() == want.keys() and want
+        assert all(got[k][2] == want[k][2] and np.allclose(got[k][:2], want[k][:2], rtol=0, atol=1e-9) for k in want)
+    assert encounters.interaction_of_all(frame.filter("false"), 60.0, 60, 20.0, 0.5).count() == 0
+
+
+def _most_rows(spark, work):
+    """The most rows that an operator of the queries of ``work`` hands on."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    work()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs, most = store.executionsList(), 0
+    for k in range(seen, runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            for metric in (node.metrics().apply(n) for n in range(node.metrics().size())):
+                if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                    most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_pairs_of_a41_are_no_rows(spark, tmp_path):
+    from icewake import registry
+
+    events = spark.range(3000).selectExpr("id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id AS user_id", "'view' AS event_type", "id % 19 * 1e0 AS value", "'' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = []
+    most = _most_rows(spark, lambda: found.extend(registry.queries()["a41_encounters"](spark, str(tmp_path)).collect()))
+    assert sum(r["pairs"] for r in found) > 100_000 and 3000 <= most < 10_000
