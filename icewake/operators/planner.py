@@ -138,7 +138,7 @@ def plan(cells: DataFrame, requests: DataFrame, weights: tuple[float, float, flo
 
 def measures(steps: DataFrame) -> DataFrame:
     """One row a run: what its route met, in sums over all its steps, and its length."""
-    w = Window.partitionBy("run_id").orderBy("seq")
+    w = Window.partitionBy("run_id").orderBy(F.desc("seq"))  # sums go from the goal to the start, as in the SQL: totals at half a digit are rounded by it
     leg = haversine_km(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon"))
     zero, u = F.lit(0.0), clip(finite("uncertainty"), 0.0, 1.0)
     sums = [F.coalesce(F.sum(c), zero).alias(c) for c in COMPONENTS]

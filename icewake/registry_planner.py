@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import planner, search
@@ -76,9 +76,15 @@ SELECT request, mode, CASE WHEN use_layers THEN 'layers' ELSE 'belt' END AS sour
  row_number() OVER (PARTITION BY request ORDER BY score, place) = 1 AS recommended FROM sc"""
 
 
+def _rounded(c: str, digits: int) -> Column:
+    """As the SQL rounds: the scaled double to the nearest integer, half away from zero; Spark's ``round`` goes by the decimal digits."""
+    x = F.col(c) * 10.0**digits
+    return F.signum(x) * F.floor(F.abs(x) + 0.5) / 10.0**digits
+
+
 def _plans(spark: SparkSession, d: str, rows: list[tuple], weights: tuple[float, float, float]) -> DataFrame:
     plans, _ = planner.plan(_cells(spark, d), planner.request_table(spark, _requests(rows)), weights, size=32)
-    return plans.select("request", "mode", "source", "reachable", "steps", "on_land", *(F.round(c, 5).alias(c) for c in (*_SHOWN, "score")), "recommended")
+    return plans.select("request", "mode", "source", "reachable", "steps", "on_land", *(_rounded(c, 5).alias(c) for c in (*_SHOWN, "score")), "recommended")
 
 
 @_query("g04_whole_plans", _sql(VOYAGE, (0.33, 0.33, 0.34)))
